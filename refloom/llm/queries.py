@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import lookalike
+from refloom.llm import lookalike, quality
 from refloom.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     records = read(spark, sf, "arxiv").select("arxiv_id", "title_norm").filter(F.col("title_norm").isNotNull()).distinct()
     plain = F.trim(F.regexp_replace(F.lower("title"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
     return lookalike.reads_like(entries, records, "title", "title_norm").filter(plain != F.col("title_norm")).select("cited_id", "arxiv_id").distinct()
+
+
+@query()
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents the larger part of which is no prose."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return quality.with_quality(docs, "text").filter(~F.col("quality.is_prose")).select("doc_id").distinct()
+
+
+@query()
+def p9_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics of every document."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return quality.with_quality(docs, "text").select("doc_id", "quality.*").distinct()
