@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import lookalike, quality
+from refloom.functions.keys import journal_key
+from refloom.llm import canonical_list, lookalike, quality
 from refloom.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +46,13 @@ def p9_quality(spark: SparkSession, sf: str) -> DataFrame:
     """The statistics of every document."""
     docs = read(spark, sf, "documents").select("doc_id", "text")
     return quality.with_quality(docs, "text").select("doc_id", "quality.*").distinct()
+
+
+@query()
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries whose journal is typed freely, with the identity of the journal meant or 'unmatched'."""
+    alias, acronym, journal = (read(spark, sf, t) for t in ("alias", "acronym", "journal"))
+    rows = read(spark, sf, "cited_sent").select("cited_id", "journal").filter(F.length(F.trim("journal")) > 0).withColumn("key", journal_key(F.col("journal")))
+    rows = rows.join(alias.select(F.col("name_norm").alias("key")), "key", "left_anti").select("cited_id", "journal")
+    names = canonical_list.resolve(rows, "journal", alias, acronym, journal).withColumnRenamed("value", "journal")
+    return rows.join(names, "journal").select("cited_id", "identity").distinct()
