@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.functions.keys import journal_key
-from refloom.llm import canonical_list, lookalike, quality
+from refloom.llm import canonical_list, leakage, lookalike, quality
 from refloom.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.join(alias.select(F.col("name_norm").alias("key")), "key", "left_anti").select("cited_id", "journal")
     names = canonical_list.resolve(rows, "journal", alias, acronym, journal).withColumnRenamed("value", "journal")
     return rows.join(names, "journal").select("cited_id", "identity").distinct()
+
+
+@query()
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold a passage."""
+    return leakage.find_leaks(read(spark, sf, "documents"), read(spark, sf, "heldout"), "doc_id", "text", "item_id", "text").select("doc_id", "item_id").distinct()
