@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.functions.keys import journal_key
-from refloom.llm import canonical_list, leakage, lookalike, quality
+from refloom.llm import canonical_list, leakage, lookalike, names, quality
+from refloom.operators.packed import explode_packed
 from refloom.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +63,16 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and the evaluation items of which they hold a passage."""
     return leakage.find_leaks(read(spark, sf, "documents"), read(spark, sf, "heldout"), "doc_id", "text", "item_id", "text").select("doc_id", "item_id").distinct()
+
+
+def _spellings(spark: SparkSession, sf: str) -> DataFrame:
+    """The single names in cited_sent.authors and the first authors of biblio, each once."""
+    packed = read(spark, sf, "cited_sent").select("authors").distinct()
+    single = explode_packed(packed, "authors", "name").select("name")
+    return single.unionByName(read(spark, sf, "biblio").select(F.col("author1").alias("name"))).distinct()
+
+
+@query()
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every two spellings of the same person or organisation."""
+    return names.pairs(names.link_names(_spellings(spark, sf), "name"))
