@@ -169,7 +169,7 @@ def resolve(values: DataFrame, column: str, alias: DataFrame, acronym: DataFrame
     # The nearest name decides, if it is the name of one identity; a name in full goes before one cut short.
     near = near.unionByName(cut).groupBy("value").agg(F.collect_set(F.struct("rank", "identity")).alias("all"))
     first = F.filter("all", lambda x: x["rank"] == F.array_min("all")["rank"])
-    near = near.select("value", first.alias("first")).filter(F.size("first") == 1).select("value", F.col("first")[0]["identity"].alias("identity"))
+    near = near.select("value", first.alias("first")).filter(F.size("first") == 1).select("value", F.get("first", F.lit(0))["identity"].alias("identity"))
     matched = near.unionByName(short.filter(F.col("identity").isNotNull()))
     unmatched = v.select("value").join(matched, "value", "left_anti").select("value", F.lit("unmatched").alias("identity"))
     return matched.unionByName(unmatched)

@@ -47,8 +47,13 @@ def _map(pairs: dict[str, str]) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents; umlauts written out as two vowels count as one."""
-    return F.regexp_replace(deaccent(F.lower(c)), r"(?<=\p{L})([aou])e(?=\p{L})", "$1")
+    """Lower case without accents."""
+    return deaccent(F.lower(c))
+
+
+def _umlauts(c: Column) -> Column:
+    """Umlauts written out as two vowels as one."""
+    return F.regexp_replace(c, r"(?<=\p{L})([aou])e(?=\p{L}|$)", "$1")
 
 
 def _own(words: Column) -> Column:
@@ -63,13 +68,15 @@ def _initial(given: Column) -> Column:
 def readings(spellings: DataFrame) -> DataFrame:
     """(name, family, given, initial, sure): how each spelling may be read; two ways where its order is open."""
     n = spellings.select("name", F.regexp_replace(F.trim("name"), r"\s+", " ").alias("n"))
+    for _ in range(2):
+        n = n.withColumn("n", F.regexp_replace("n", r"\b(Van|Von|De|Der|Den|Del|Di|Da|Du|La|Le)(?=\p{Lu}\p{Ll})", "$1 "))
     n = n.withColumn("words", F.split(F.regexp_replace(F.lower("n"), r"[.,]", " "), " +"))
     kind = F.array_compact(F.transform("words", lambda w: _map(KINDS)[w]))
     n = n.withColumn("kinds", kind).withColumn("own", F.filter(F.transform("words", fold), lambda w: (w != "") & ~w.isin(*KINDS, *_SMALL)))
     # Of an organisation the first word of its own and the first kind; what it is for tells it apart only by its kind.
     organisation = (F.size("kinds") > 0) & (F.size("own") > 0) & ~F.col("n").contains(",")
     lead = F.filter("own", lambda w: F.length(w) > 3)
-    org = n.filter(organisation & (F.size(lead) > 0)).select("name", lead[0].alias("family"), F.lit("").alias("given"), F.concat(F.lit("#"), F.col("kinds")[0]).alias("initial"), F.lit(True).alias("sure"))
+    org = n.filter(organisation & (F.size(lead) > 0)).select("name", F.get(lead, F.lit(0)).alias("family"), F.lit("").alias("given"), F.concat(F.lit("#"), F.get("kinds", F.lit(0))).alias("initial"), F.lit(True).alias("sure"))
 
     p = n.filter(~organisation).withColumn("comma", F.col("n").contains(","))
     p = p.withColumn("left", F.when(F.col("comma"), F.regexp_extract("n", r"^([^,]*)", 1))).withColumn("right", F.when(F.col("comma"), F.regexp_extract("n", r"^[^,]*,\s*(.*)$", 1)))
@@ -79,13 +86,13 @@ def readings(spellings: DataFrame) -> DataFrame:
 
     bare = p.filter(~F.col("comma")).withColumn("tokens", F.split("n", " "))
     # Initials: capitals of up to three letters, with dots or hyphens or without.
-    is_initials = lambda w: w.rlike(r"^(?:\p{Lu}\.?-?){1,3}$")
+    is_initials = lambda w: w.rlike(r"^(?:\p{Lu}\.?-?){1,3}$") & ~F.lower(w).isin(*PARTICLES)
     bare = bare.withColumn("initials", F.filter("tokens", is_initials)).withColumn("rest", _own(F.transform(F.filter("tokens", lambda w: ~is_initials(w)), fold)))
     bare = bare.withColumn("first", F.lower(F.substring(F.coalesce(F.get("initials", F.lit(0)), F.lit("")), 1, 1)))
-    single = bare.filter(F.size("rest") == 1).select("name", F.col("rest")[0].alias("family"), F.lit("").alias("given"), "first", F.lit(True).alias("sure")).withColumnRenamed("first", "initial")
-    many = bare.filter(F.size("rest") > 1).withColumn("west", F.struct(F.element_at("rest", -1).alias("family"), F.col("rest")[0].alias("given")))
-    many = many.withColumn("east", F.struct(F.col("rest")[0].alias("family"), F.element_at("rest", -1).alias("given")))
-    led = F.lower(F.col("tokens")[0]).isin(*PARTICLES)
+    single = bare.filter(F.size("rest") == 1).select("name", F.get("rest", F.lit(0)).alias("family"), F.lit("").alias("given"), "first", F.lit(True).alias("sure")).withColumnRenamed("first", "initial")
+    many = bare.filter(F.size("rest") > 1).withColumn("west", F.struct(F.element_at("rest", -1).alias("family"), F.get("rest", F.lit(0)).alias("given")))
+    many = many.withColumn("east", F.struct(F.get("rest", F.lit(0)).alias("family"), F.element_at("rest", -1).alias("given")))
+    led = F.lower(F.get("tokens", F.lit(0))).isin(*PARTICLES)
     open_order = (F.size("initials") == 0) & (F.size("rest") == 2) & (led | ~F.exists("tokens", lambda w: F.lower(w).isin(*PARTICLES)))
     many = many.select("name", F.explode(F.when(led, F.array("east")).when(open_order, F.array("west", "east")).otherwise(F.array("west"))).alias("r"), F.when(open_order & ~led, False).otherwise(True).alias("sure"))
     many = many.select("name", "r.family", "r.given", _initial(F.col("r.given")).alias("initial"), "sure")
@@ -154,12 +161,14 @@ def link_names(spellings: DataFrame, column: str) -> DataFrame:
     # A slip of the pen has few spellings beside the true name; two names with many of their own are two persons.
     agree = (F.size("x_givens") == 0) | (F.size("y_givens") == 0) | F.exists("x_givens", lambda g: F.exists("y_givens", lambda h: F.levenshtein(g, h) <= 2))
     typed = typed.filter(agree & (F.least("x_spellings", "y_spellings") <= SLIP)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    same = size.select("node", F.struct(_umlauts(F.col("family")).alias("f"), "initial").alias("key"))
+    written = same.select(F.col("node").alias("a"), "key").join(same.select(F.col("node").alias("b"), "key"), "key").filter("a < b").select("a", "b")
     # A slip in the first letter of a given name moves it to another initial of the same family name.
     given = size.select("node", "family", "initial", F.explode("givens").alias("given"))
     g, h = (given.select(*[F.col(c).alias(f"{k}_{c}") for c in given.columns]) for k in "gh")
     moved = g.join(h, (F.col("g_family") == F.col("h_family")) & (F.col("g_initial") < F.col("h_initial"))).filter((F.levenshtein("g_given", "h_given") <= 1) | _swapped(F.col("g_given"), F.col("h_given")))
     moved = moved.select(F.col("g_node").alias("a"), F.col("h_node").alias("b"))
-    labels = components(size, typed.unionByName(moved), "node")
+    labels = components(size, typed.unionByName(written).unionByName(moved), "node")
     return read.join(labels, "node").select("name", F.col("label").alias("entity"))
 
 
