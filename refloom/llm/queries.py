@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.functions.keys import journal_key
-from refloom.llm import canonical_list, leakage, lookalike, names, quality
+from refloom.llm import canonical_list, entities, leakage, lookalike, names, quality
 from refloom.operators.packed import explode_packed
 from refloom.session import read
 
@@ -76,3 +76,21 @@ def _spellings(spark: SparkSession, sf: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every two spellings of the same person or organisation."""
     return names.pairs(names.link_names(_spellings(spark, sf), "name"))
+
+
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    entries = read(spark, sf, "cited_sent").select("cited_id", "title", "year", "volume", "pages")
+    works = read(spark, sf, "oa").select("oa_id", "title_norm", "year", "volume", "first_page")
+    return entities.match(entries, works, ("cited_id", "title", "year", "volume", "pages"), ("oa_id", "title_norm", "year", "volume", "first_page"))
+
+
+@query()
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries and the works of oa that they refer to."""
+    return _matches(spark, sf).select("cited_id", "oa_id").distinct()
+
+
+@query()
+def p1_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the posterior of each match."""
+    return _matches(spark, sf).select("cited_id", "oa_id", F.round("confidence", 6).alias("confidence"))
