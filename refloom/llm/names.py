@@ -154,6 +154,7 @@ def link_names(spellings: DataFrame, column: str) -> DataFrame:
     names = spellings.select(F.trim(F.col(f"`{column}`"), F.lit(" \t\r\n ")).alias("name")).filter((F.col("name") != "") & (F.lower("name") != "anonymous")).distinct()
     read = cut(_settled(readings(names)).withColumn("node", F.concat_ws("|", "family", "initial")))
     size = read.groupBy("node", "family", "initial").agg(F.count("*").alias("spellings"), F.collect_set(F.when(F.length("given") > 2, F.coalesce(_map(NICKNAMES)[F.col("given")], F.col("given")))).alias("givens"))
+    size = cut(size)
 
     families = similar_strings(size, "family").filter((F.col("distance") == 1) | _swapped(F.col("a"), F.col("b")))
     x, y = (size.select(*[F.col(c).alias(f"{k}_{c}") for c in size.columns]) for k in "xy")

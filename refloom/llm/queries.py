@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.functions.keys import journal_key
-from refloom.llm import canonical_list, entities, leakage, lookalike, names, quality
+from refloom.llm import canonical_list, entities, leakage, lookalike, names, quality, scans
 from refloom.operators.packed import explode_packed
 from refloom.session import read
 
@@ -94,3 +94,20 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """The same with the posterior of each match."""
     return _matches(spark, sf).select("cited_id", "oa_id", F.round("confidence", 6).alias("confidence"))
+
+
+def _repaired(spark: SparkSession, sf: str) -> DataFrame:
+    fields = ["title", "authors", "journal", "volume", "pages", "year", "publisher"]
+    return scans.repair(read(spark, sf, "cited_sent"), "cited_id", "citation", fields)
+
+
+@query()
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The kinds of flaws that a page and its scanner left in each entry."""
+    return scans.flaws(_repaired(spark, sf), "cited_id")
+
+
+@query()
+def p5_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entry as one continuous readable text."""
+    return _repaired(spark, sf).select("cited_id", "text").distinct()
