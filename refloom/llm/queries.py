@@ -98,7 +98,7 @@ def p1_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 def _repaired(spark: SparkSession, sf: str) -> DataFrame:
     fields = ["title", "authors", "journal", "volume", "pages", "year", "publisher"]
-    return scans.repair(read(spark, sf, "cited_sent"), "cited_id", "citation", fields)
+    return scans.repair(read(spark, sf, "cited_sent"), "cited_id", "citation", fields, "journal")
 
 
 @query()

@@ -26,7 +26,7 @@ from refloom.session import cut
 # Characters that scanners take for others, and the one that stands for both in a skeleton.
 GLYPHS, SKELETON = "@!051|l+$9£8c", "aiosiiitsgfbe"
 # The same for groups of characters.
-GROUPS = (("vv", "w"), ("rn", "m"), ("h", "u"), ("tt", "u"), ("ii", "u"))
+GROUPS = (("vv", "w"), ("rn", "m"), ("h", "ii"), ("tt", "ii"), ("u", "ii"), ("d", "ei"))
 #: How much more frequent the word must be that a rarer one is linked to.
 RATIO = 2
 #: Size of the vectors, words that get one (the count is a share of all words, at least two).
@@ -38,6 +38,9 @@ _MARKS = "-¬\u00ad‐‑"
 _CUT_END = re.compile(r"(\S*[^\W\d_]\S*?)([\-¬\u00ad‐‑])[ \t]*$")
 _PAGE = re.compile(r"^(?:page\s+\d+\s+of\s+\d+|(?:page|p\.|s\.)\s*\d+|[-—–]\s*\d+\s*[-—–]|\[\s*\d+\s*\]|\(\s*\d+\s*\)|\d{1,4}|[ivxlc]+)$", re.IGNORECASE)
 _FURNITURE_WORDS = frozenset("references bibliography literature cited notes contents continued index appendix".split())
+_STRONG = re.compile(r"^(?:references|bibliography|literature cited|notes|contents|appendix)(?: \(continued\))?$|^.{2,60} and others\b.*:", re.IGNORECASE)
+_ET_AL = re.compile(r"\bET AL\.?$")
+_VOLUME = re.compile(r"^[^\d]{4,80}, vol\. ?\d+$", re.IGNORECASE)
 _NEUTRAL = frozenset("vol pp no and und et the art".split())
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 
@@ -60,8 +63,8 @@ def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def repair_page(citation: str, fields: str) -> tuple[str, bool, bool, bool]:
-    """(text without furniture, reflowed; whether words were cut, a header, a page number stood in it)."""
+def repair_page(citation: str, fields: str, journal: str | None = "?") -> tuple[str, bool, bool, bool, str]:
+    """(text without furniture, reflowed; whether words were cut, a header, a page number stood in it; fields in one form)."""
     known = canonical(_TAG.sub(" ", _ESCAPE.sub(lambda m: chr(int(m[1], 16)), fields)))
     known_words = {skeleton(w) for w in _words(known)}
     joined_words = {skeleton(w) for w in re.findall(r"[^\s.,;:()\[\]\"“”'’<>/|]+", known.lower())}
@@ -81,7 +84,12 @@ def repair_page(citation: str, fields: str) -> tuple[str, bool, bool, bool]:
         return "of" in x.lower() or all(n not in numbers or digits[n] > max(1, numbers[n]) for n in found)
 
     def is_header(x: str, before: str) -> bool:
+        if _STRONG.match(x) or (x.isupper() and _ET_AL.search(x)):
+            return True
         words = _words(x)
+        seen = [in_text[skeleton(w)] > 1 or skeleton(w) not in known_words for w in words if len(w) > 2 and w not in _NEUTRAL]
+        if _VOLUME.match(x) and seen and all(seen):
+            return True
         if before and words:
             words = words[1:]
         if x and x[-1] in _MARKS and words:
@@ -92,8 +100,12 @@ def repair_page(citation: str, fields: str) -> tuple[str, bool, bool, bool]:
         strange = [w for w in words if skeleton(w) not in known_words]
         if len(words) == 1:
             return bool(strange) and words[0] in _FURNITURE_WORDS and len(x) < 25
+        # Words of the entry's fields that stand nowhere else speak for a line of the entry.
+        if any(skeleton(w) in known_words and in_text[skeleton(w)] < 2 and len(w) > 3 for w in words):
+            return False
         if len(strange) >= 0.6 * len(words):
-            return True
+            # Where the journal's name is missing from the fields, a name may be it; a remark has words in lower case.
+            return bool((journal or "").strip()) or x.isupper() or sum(w.islower() for w in re.findall(r"[^\W\d_]{4,}", x)) >= 3
         # The journal's name once more, in capitals or with a volume of its own.
         again = all(in_text[skeleton(w)] > 1 or w in strange for w in words)
         return again and (x.isupper() or re.search(r", vol\. ?\d+$", x, re.IGNORECASE) is not None)
@@ -133,16 +145,17 @@ def repair_page(citation: str, fields: str) -> tuple[str, bool, bool, bool]:
             text += line
         else:
             text = f"{text} {line}" if text else line
-    return text, hyphen, header, page
+    return text, hyphen, header, page, known
 
 
-PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("hyphenation", T.BooleanType()), T.StructField("header", T.BooleanType()), T.StructField("page_number", T.BooleanType())])
+PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("hyphenation", T.BooleanType()), T.StructField("header", T.BooleanType()), T.StructField("page_number", T.BooleanType()), T.StructField("known", T.StringType())])
+FOUND = ("hyphenation", "header", "page_number")
 
 
 @F.pandas_udf(PAGE)
-def _repair(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for citations, fields in parts:
-        yield pd.DataFrame([repair_page(c, f) for c, f in zip(citations, fields)], columns=PAGE.fieldNames())
+def _repair(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for citations, fields, journals in parts:
+        yield pd.DataFrame([repair_page(*x) for x in zip(citations, fields, journals)], columns=PAGE.fieldNames())
 
 
 def _tokens(text: Column) -> Column:
@@ -151,13 +164,13 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(plain, r"[\s ]+"), lambda w: w.rlike(r"\p{L}"))
 
 
-def repair(df: DataFrame, key: str, citation: str, fields: list[str]) -> DataFrame:
+def repair(df: DataFrame, key: str, citation: str, fields: list[str], journal: str) -> DataFrame:
     """(key, text, hyphenation, header, page_number, misread) for each distinct entry; text is continuous."""
     c = F.col(f"`{citation}`")
-    rows = df.select(F.col(key).alias("key"), c.alias("citation"), F.concat_ws(" ", *[F.col(f"`{f}`").cast("string") for f in fields]).alias("fields")).filter(c.isNotNull()).distinct()
+    rows = df.select(F.col(key).alias("key"), c.alias("citation"), F.concat_ws(" ", *[F.col(f"`{f}`").cast("string") for f in fields]).alias("fields"), F.col(f"`{journal}`").alias("journal")).filter(c.isNotNull()).distinct()
     paged = F.col("citation").rlike(r"[\r\n]")
-    plain = rows.filter(~paged).select("key", F.col("citation").alias("text"), "fields", *[F.lit(False).alias(n) for n in PAGE.fieldNames()[1:]])
-    scanned = rows.filter(paged).withColumn("r", _repair("citation", "fields")).select("key", "r.text", "fields", *[f"r.{n}" for n in PAGE.fieldNames()[1:]])
+    plain = rows.filter(~paged).select("key", F.col("citation").alias("text"), "fields", *[F.lit(False).alias(n) for n in FOUND])
+    scanned = rows.filter(paged).withColumn("r", _repair("citation", "fields", "journal")).select("key", "r.text", F.col("r.known").alias("fields"), *[f"r.{n}" for n in FOUND])
     both = cut(plain.unionByName(scanned).withColumn("rid", F.xxhash64("key", "text", "fields")).withColumn("words", _tokens(F.col("text"))))
 
     counts = cut(both.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).withColumn("skeleton", skeleton_column(F.col("w"))))
@@ -189,7 +202,7 @@ def repair(df: DataFrame, key: str, citation: str, fields: list[str]) -> DataFra
     fixes = best.groupBy("rid").agg(F.collect_list(F.struct("w", "to")).alias("fixes"), F.max("shown").alias("misread"))
     out = both.join(fixes, "rid", "left")
     text = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<w:string,to:string>>")), F.col("text"), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}@!+$£|-])\Q"), x["w"], F.lit(r"\E(?![\p{L}\p{N}@!+$£|-])")), x["to"]))
-    return out.select(F.col("key").alias(key), text.alias("text"), *PAGE.fieldNames()[1:], F.coalesce("misread", F.lit(False)).alias("misread"))
+    return out.select(F.col("key").alias(key), text.alias("text"), *FOUND, F.coalesce("misread", F.lit(False)).alias("misread"))
 
 
 def _as_arrays(vectors: DataFrame) -> DataFrame:
