@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.functions.keys import journal_key
-from refloom.llm import canonical_list, entities, leakage, lookalike, names, quality, scans
+from refloom.llm import canonical_list, entities, leakage, lookalike, names, packing, quality, scans
 from refloom.operators.packed import explode_packed
 from refloom.session import read
 
@@ -111,3 +111,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_text(spark: SparkSession, sf: str) -> DataFrame:
     """Every entry as one continuous readable text."""
     return _repaired(spark, sf).select("cited_id", "text").distinct()
+
+
+@query()
+def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of every document, or of its pieces, for each capacity."""
+    docs = packing.with_tokens(read(spark, sf, "documents").select("doc_id", "text"), "text")
+    packed = packing.pack(docs.select(F.col("doc_id").alias("id"), "tokens"), read(spark, sf, "pack_size"))
+    return packed.withColumnRenamed("id", "doc_id")
