@@ -151,8 +151,9 @@ def components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 
 def link_names(spellings: DataFrame, column: str) -> DataFrame:
     """(name, entity): the spellings of a column, those of one person or organisation under one entity."""
-    names = spellings.select(F.trim(F.col(f"`{column}`"), F.lit(" \t\r\n ")).alias("name")).filter((F.col("name") != "") & (F.lower("name") != "anonymous")).distinct()
-    read = cut(_settled(readings(names)).withColumn("node", F.concat_ws("|", "family", "initial")))
+    # Written out: what follows reads the names, their readings and the groups several times each.
+    names = cut(spellings.select(F.trim(F.col(f"`{column}`"), F.lit(" \t\r\n\u00a0")).alias("name")).filter((F.col("name") != "") & (F.lower("name") != "anonymous")).distinct())
+    read = cut(_settled(cut(readings(names))).withColumn("node", F.concat_ws("|", "family", "initial")))
     size = read.groupBy("node", "family", "initial").agg(F.count("*").alias("spellings"), F.collect_set(F.when(F.length("given") > 2, F.coalesce(_map(NICKNAMES)[F.col("given")], F.col("given")))).alias("givens"))
     size = cut(size)
 
