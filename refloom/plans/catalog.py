@@ -202,9 +202,9 @@ def title_hijacks(spark, sf):
 @query()
 def author_hijacks(spark, sf):
     """By reference whether no author of the works with its title stands in it; null where that can't be said."""
-    works = read(spark, sf, "oa").filter(F.col("title_norm").isNotNull() & F.col("author1").isNotNull()).groupBy("title_norm").agg(F.collect_set("author1").alias("authors"))
+    works = read(spark, sf, "oa").filter(F.col("title_norm").isNotNull() & F.col("author1").isNotNull()).groupBy("title_norm").agg(F.collect_set("author1").alias("known_authors"))
     hits = base.references(spark, sf).join(works, F.col("title_key") == F.col("title_norm"))
-    return hits.select("cited_id", rules.author_hijack(F.col("citation"), F.col("authors"), F.col("title_norm")).alias("author_hijack"))
+    return hits.select("cited_id", rules.author_hijack(F.col("citation"), F.col("known_authors"), F.col("title_norm")).alias("author_hijack"))
 
 
 @query(f"WITH {FACTS} SELECT CASE WHEN y IS NULL THEN 'unknown' WHEN y < 1990 THEN 'pre1990' WHEN y < 2000 THEN '1990s' WHEN y < 2010 THEN '2000s' WHEN y < 2015 THEN '2010-14' WHEN y < 2020 THEN '2015-19' ELSE '2020+' END AS band, count(*) AS n, round(avg((NOT found)::INT), 6) AS rate FROM facts GROUP BY 1")
