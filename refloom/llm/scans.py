@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refloom.llm.lookalike import canonical
+from refloom.operators.packed import let
 from refloom.session import cut
 
 # Characters that scanners take for others, and the one that stands for both in a skeleton.
@@ -180,9 +181,12 @@ def repair(df: DataFrame, key: str, citation: str, fields: list[str], journal: s
     links = links.filter((F.col("w") != F.col("to")) & (F.col("m") >= RATIO * F.col("n")) & F.col("to").rlike(r"^[\p{L}\p{M}-]+$")).select("w", "to", "m")
 
     # Words that the row's own fields show as they stand are no errors of the scanner.
-    own = _tokens(F.col("fields"))
-    strange = both.withColumn("own", own).withColumn("places", F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~F.array_contains("own", x["w"])))
-    strange = strange.filter(F.size("places") > 0).select("rid", "fields", "words", F.explode("places").alias("p")).select("rid", "fields", "p.w", F.filter(F.transform(F.array(*[F.lit(d) for d in (-2, -1, 1, 2)]), lambda d: F.when(F.col("p.i") + d >= 0, F.get("words", F.col("p.i") + d))), lambda w: w.isNotNull()).alias("context"))
+    places = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    strange = let(_tokens(F.col("fields")), lambda own: F.filter(places, lambda x: ~F.array_contains(own, x["w"])))
+    # The outer form keeps the optimizer from computing the array again in an inferred filter.
+    strange = both.select("rid", "fields", "words", F.explode_outer(strange).alias("p")).filter(F.col("p").isNotNull())
+    around = F.transform(F.array(*[F.lit(d) for d in (-2, -1, 1, 2)]), lambda d: F.when(F.col("p.i") + d >= 0, F.get("words", F.col("p.i") + d)))
+    strange = strange.select("rid", "fields", "p.w", F.filter(around, lambda w: w.isNotNull()).alias("context"))
     linked = cut(strange.join(links, "w"))
 
     total = counts.agg(F.sum("n")).first()[0] or 0
