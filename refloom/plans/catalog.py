@@ -375,3 +375,58 @@ def nearest_vectors(spark, sf):
     """V2-V5: every vector whose id 50 divides, against all."""
     e = read(spark, sf, "embeddings")
     return vector.nearest(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", year="label", k=5).withColumn("similarity", F.round("similarity", 5))
+
+
+# Sentences, injections, events.
+
+
+@query()
+def citing_sentences(spark, sf):
+    """F23, F24, F26, W2."""
+    from refloom.operators.sentences import citing_sentences as run, running_index
+
+    s = running_index(run(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
+    return s.select("doc_id", "sent_index", "sentence", F.size("before").alias("n_before"), F.size("after").alias("n_after"), F.array_join("refs", ",").alias("refs"))
+
+
+@query(
+    f"WITH {base.REFS}, s AS (SELECT paper, cited_id, y, row_number() OVER (PARTITION BY paper ORDER BY substring(md5('42:' || cited_id),1,16), cited_id) AS k FROM refs WHERE length(title) >= 50 AND y IS NOT NULL) SELECT paper, cited_id, y AS original_year, y + 7 AS corrupted_year FROM s WHERE k <= 2"
+)
+def injected_mismatches(spark, sf):
+    """I2."""
+    from refloom.operators.inject import inject_mismatches
+
+    return inject_mismatches(base.references(spark, sf))
+
+
+@query(f"WITH {base.REFS} SELECT cited_id, (('0x' || substring(md5('biblio:' || cited_id),1,8))::BIGINT % 90 + 1)::VARCHAR AS volume, (('0x' || substring(md5('biblio:' || cited_id),1,8))::BIGINT % 1500 + 1)::VARCHAR AS first_page FROM refs")
+def synthetic_details(spark, sf):
+    """F41, I4."""
+    from refloom.operators.inject import synthetic_biblio
+
+    return synthetic_biblio(base.references(spark, sf).select("cited_id"), "cited_id").select("cited_id", "volume", "first_page")
+
+
+@query("SELECT to_timestamp((epoch(ts)::BIGINT // 604800) * 604800)::TIMESTAMP AS start, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def weekly_events(spark, sf):
+    """Windows over arrival times, as on a stream."""
+    from refloom.streaming.ingest import windowed_counts
+
+    return windowed_counts(read(spark, sf, "events").select("ts"), "ts", "7 days")
+
+
+@query(
+    f"WITH {FACTS} SELECT nonacademic_rule, reason, CASE WHEN found THEN NULL WHEN NOT nonacademic AND reason = 'fab_candidate' THEN 'not_found_candidate' END AS flag, count(*) AS n FROM facts GROUP BY 1,2,3"
+)
+def flags(spark, sf):
+    """C5 counted; hijacks are queries of their own."""
+    f = base.facts(spark, sf)
+    flag = rules.fab_flag(F.lit(False), F.lit(False), F.col("found"), F.col("nonacademic"), F.col("reason"))
+    return f.groupBy("nonacademic_rule", "reason", flag.alias("flag")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FACTS}, s AS (SELECT CASE WHEN y >= 2018 THEN 'late' ELSE 'early' END AS era, CASE WHEN found THEN 1.0 ELSE 0.0 END + i / 1000.0 AS score, found FROM facts), t AS (SELECT unnest([0.2,0.5,1.0]) AS threshold) SELECT threshold::DOUBLE AS threshold, count_if(found AND score >= threshold) AS kept, count_if(NOT found AND score >= threshold) AS leaked FROM s, t GROUP BY 1")
+def threshold_sweep(spark, sf):
+    """A20."""
+    s = base.facts(spark, sf).select((F.col("found").cast("double") + F.col("i") / 1000.0).alias("score"), "found")
+    return rates.threshold_sweep(s, "score", "found", [0.2, 0.5, 1.0])
