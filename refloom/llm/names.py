@@ -87,7 +87,11 @@ def readings(spellings: DataFrame) -> DataFrame:
     bare = p.filter(~F.col("comma")).withColumn("tokens", F.split("n", " "))
     # Initials: capitals of up to three letters, with dots or hyphens or without.
     is_initials = lambda w: w.rlike(r"^(?:\p{Lu}\.?-?){1,3}$") & ~F.lower(w).isin(*PARTICLES)
-    bare = bare.withColumn("initials", F.filter("tokens", is_initials)).withColumn("rest", _own(F.transform(F.filter("tokens", lambda w: ~is_initials(w)), fold)))
+    # Where nothing else is left, three capitals without a dot are a short family name.
+    loose = F.exists("tokens", lambda w: ~is_initials(w) & ~F.lower(w).isin(*PARTICLES))
+    taken = lambda w: is_initials(w) & (F.col("loose") | ~w.rlike(r"^\p{Lu}{3}$"))
+    bare = bare.withColumn("loose", loose)
+    bare = bare.withColumn("initials", F.filter("tokens", taken)).withColumn("rest", _own(F.transform(F.filter("tokens", lambda w: ~taken(w)), fold)))
     bare = bare.withColumn("first", F.lower(F.substring(F.coalesce(F.get("initials", F.lit(0)), F.lit("")), 1, 1)))
     single = bare.filter(F.size("rest") == 1).select("name", F.get("rest", F.lit(0)).alias("family"), F.lit("").alias("given"), "first", F.lit(True).alias("sure")).withColumnRenamed("first", "initial")
     many = bare.filter(F.size("rest") > 1).withColumn("west", F.struct(F.element_at("rest", -1).alias("family"), F.get("rest", F.lit(0)).alias("given")))

@@ -153,7 +153,7 @@ def describe(text: str | None) -> tuple | None:
     solid = sum(map(len, text.split()))
     gram2, gram3 = _top_gram(every, 2), _top_gram(every, 3)
     share = prose / total
-    if n_words >= 20 and max(gram2, gram3) > 0.4:
+    if max(gram2, gram3) > (0.4 if n_words >= 20 else 0.7):
         share = min(share, 1 - max(gram2, gram3))
     return (
         len(text), n_words, len(lines), letters / n_words if n_words else 0.0, 1 - letters / solid if solid else 0.0, ended / len(rows),
