@@ -123,3 +123,22 @@ def likelihood(found: Column, journal: Column, volume: Column, pages: Column, ye
     filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
     score = F.lit(0.30) + F.when(filled(journal), 0.25).otherwise(0.0) + F.when(filled(journal) & filled(volume) & filled(pages), 0.20).otherwise(0.0) + F.when(year >= 2020, 0.20).when(year < 2005, -0.15).otherwise(0.0)
     return F.when(~found, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+
+def style_of(c: Column) -> Column:
+    """the style of a printed reference; the first that fits."""
+    return (
+        F.when(c.rlike(r"^\s*\[\d+\]"), "ieee").when(c.rlike(r"\d{4};\s*\d*(?:\(\d+\))?:"), "vancouver").when(c.rlike(r"\(\d{4}[a-z]?\)\.\s"), "apa")
+        .when(c.rlike(r"[\"“].+[\"”].*\(\d{4}\)"), "chicago").when(c.rlike(r"[\"“].+[\"”].*\b\d{4}\b"), "mla").otherwise("unknown")
+    )
+
+
+def metadata_issues(year: Column, journal: Column, volume: Column, author_words: Column, their_year: Column, their_journal: Column, their_volume: Column, their_author: Column) -> Column:
+    """What of a reference disagrees with its record: identities of journals, keys of volumes; what is missing never does."""
+    issue = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
+    return F.array_compact(F.array(issue(F.abs(year - their_year) > 1, "year"), issue(journal != their_journal, "journal"), issue(volume != their_volume, "volume"), issue((F.size(author_words) > 0) & ~F.array_contains(author_words, their_author), "author")))
+
+
+def is_mismatch(issues: Column) -> Column:
+    """Two issues, or one that isn't the year."""
+    return (F.size(issues) >= 2) | F.exists(issues, lambda x: x != "year")

@@ -132,3 +132,15 @@ def fuzzy_title(refs: DataFrame, works: DataFrame, common: int = 3) -> DataFrame
     kept = both.select("cited_id", "oa_id", F.round(contained, 6).alias("contained"), F.round(grams, 6).alias("grams")).filter(good(F.col("contained"), F.col("grams")))
     w = Window.partitionBy("cited_id").orderBy(F.desc("grams"), F.desc("contained"), "oa_id")
     return kept.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+
+
+def best_overlap(left: DataFrame, right: DataFrame, group: str, left_key: str, right_key: str, left_words: str, right_words: str, least: float = 0.4) -> DataFrame:
+    """For each row of the left its row of the right in the same group that holds most of its words, from ``least`` on.
+
+    Words are joined, not rows, so rows that share nothing never meet; equal overlaps go to the smallest key.
+    """
+    l = left.select(group, left_key, F.size(F.array_distinct(left_words)).alias("__n"), F.explode(F.array_distinct(left_words)).alias("__w"))
+    r = right.select(group, right_key, F.explode(F.array_distinct(right_words)).alias("__w"))
+    shared = l.join(r, [group, "__w"]).groupBy(group, left_key, right_key, "__n").agg(F.count("*").alias("__k"))
+    scored = shared.withColumn("overlap", F.round(F.col("__k") / F.col("__n"), 6)).filter(F.col("overlap") >= least)
+    return scored.groupBy(group, left_key).agg(F.min(F.struct((-F.col("overlap")).alias("o"), F.col(right_key).alias("r"))).alias("b")).select(group, left_key, F.col("b.r").alias(right_key), (-F.col("b.o")).alias("overlap"))

@@ -90,3 +90,26 @@ def power(effect: Column, se: Column, z: float = 1.96) -> Column:
     """M4: the power of a two-sided test of an effect with that standard error."""
     d = effect / se
     return 1 - normal_cdf(F.lit(z) - d) + normal_cdf(-F.lit(z) - d)
+
+
+def detrended(series: DataFrame, x: str, y: str, cut: float) -> DataFrame:
+    """M9: what every point exceeds the line by that is fitted to the points before ``cut``."""
+    line = series.filter(F.col(x) < cut).agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))
+    return series.join(F.broadcast(line)).select(x, F.round(F.col(y) - F.col("a") - F.col("b") * F.col(x), 6).alias("excess"))  # one row
+
+
+def year_effects(rows: DataFrame, year: str, bad: str, total: str, base: int) -> DataFrame:
+    """Differences of the weighted mean rates to that of the base year, with their standard error."""
+    r = F.col(bad) / F.col(total)
+    g = rows.filter(F.col(total) > 0).groupBy(year).agg(F.sum(bad).alias("b"), F.sum(total).alias("t"), F.sum(F.col(total) * r * r).alias("s"), F.count("*").alias("n"))
+    g = g.select(year, (F.col("b") / F.col("t")).alias("mean"), (F.col("s") / F.col("t") - (F.col("b") / F.col("t")) ** 2).alias("var"), "n")
+    ref = g.filter(F.col(year) == base).select(F.col("mean").alias("m0"), F.col("var").alias("v0"), F.col("n").alias("n0"))
+    return g.join(F.broadcast(ref)).select(year, F.round(F.col("mean") - F.col("m0"), 6).alias("effect"), F.round(F.sqrt(F.col("var") / F.col("n") + F.col("v0") / F.col("n0")), 6).alias("se"))  # one row
+
+
+def onset_sweep(rows: DataFrame, x: str, bad: str, total: str, onsets: list[float]) -> DataFrame:
+    """M5: the rate before and after each assumed onset, in one pass."""
+    r = rows.select(x, bad, total, F.explode(F.array(*[F.lit(float(o)) for o in onsets])).alias("onset"))
+    late = F.col(x) >= F.col("onset")
+    sums = r.groupBy("onset").agg(*[F.sum(F.when(c, F.col(v))).alias(f"{v_}_{k}") for k, c in (("pre", ~late), ("post", late)) for v, v_ in ((bad, "b"), (total, "t"))])
+    return sums.select("onset", F.round(F.col("b_pre") / F.col("t_pre"), 6).alias("pre"), F.round(F.col("b_post") / F.col("t_post"), 6).alias("post"), F.round(F.col("b_post") / F.col("t_post") - F.col("b_pre") / F.col("t_pre"), 6).alias("difference"))

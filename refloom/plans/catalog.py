@@ -430,3 +430,79 @@ def threshold_sweep(spark, sf):
     """A20."""
     s = base.facts(spark, sf).select((F.col("found").cast("double") + F.col("i") / 1000.0).alias("score"), "found")
     return rates.threshold_sweep(s, "score", "found", [0.2, 0.5, 1.0])
+
+
+# Disagreements and compositions.
+
+_ISSUES = f"""{FACTS}, w AS (SELECT oa_id, min(year) AS wy, min(journal_norm) AS wj, min({base.volume_key_sql('volume')}) AS wv FROM oa GROUP BY 1),
+wi AS (SELECT w.*, CASE WHEN al.n = 1 THEN al.identity END AS wid FROM w LEFT JOIN al ON al.name_norm = w.wj),
+issues AS (SELECT f.cited_id, f.month, list_filter([CASE WHEN abs(f.y - wi.wy) > 1 THEN 'year' END, CASE WHEN f.identity <> wi.wid THEN 'journal' END, CASE WHEN f.vol <> wi.wv THEN 'volume' END], lambda x: x IS NOT NULL) AS issues FROM facts f JOIN wi ON wi.oa_id = f.matched)"""
+
+
+def _issues(spark, sf):
+    works = read(spark, sf, "oa").groupBy("oa_id").agg(F.min("year").alias("wy"), F.min("journal_norm").alias("wj"), F.min(keys.volume_key(F.col("volume"))).alias("wv"))
+    known = match.unique_identities(read(spark, sf, "alias")).withColumnRenamed("identity", "wid")
+    works = works.join(known, F.col("wj") == F.col("name"), "left")
+    f = base.facts(spark, sf).join(works, F.col("matched") == F.col("oa_id"))
+    none = F.array().cast("array<string>")
+    issues = rules.metadata_issues(F.col("y"), F.col("identity"), F.col("vol"), none, F.col("wy"), F.col("wid"), F.col("wv"), F.lit(""))
+    return f.select("cited_id", "month", issues.alias("issues"))
+
+
+@query(f"WITH {_ISSUES} SELECT cited_id, array_to_string(issues, ',') AS issues, len(issues) >= 2 OR len(list_filter(issues, lambda x: x <> 'year')) > 0 AS mismatch FROM issues")
+def metadata_issues(spark, sf):
+    """C6, C7."""
+    return _issues(spark, sf).select("cited_id", F.array_join("issues", ",").alias("issues"), rules.is_mismatch(F.col("issues")).alias("mismatch"))
+
+
+@query(f"WITH {_ISSUES}, t AS (SELECT 2000 + substring(month,1,2)::INT AS year, count(*) AS found, count_if(len(issues) >= 2 OR len(list_filter(issues, lambda x: x <> 'year')) > 0) AS bad FROM issues GROUP BY 1) SELECT year, found, bad, round(bad / found, 6) AS rate FROM t")
+def mismatch_by_year(spark, sf):
+    """A15."""
+    t = _issues(spark, sf).groupBy(rates.citing_year(F.col("month")).alias("year")).agg(F.count("*").alias("found"), F.count_if(rules.is_mismatch(F.col("issues"))).alias("bad"))
+    return t.withColumn("rate", rates.rate(F.col("bad"), F.col("found")))
+
+
+@query(f"WITH {_ISSUES} SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM issues) GROUP BY 1")
+def issue_composition(spark, sf):
+    """A24, A28."""
+    return _issues(spark, sf).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH s AS (SELECT DISTINCT cited_id, CASE WHEN regexp_matches(citation,'^\s*\[\d+\]') THEN 'ieee' WHEN regexp_matches(citation,'\d{4};\s*\d*(?:\(\d+\))?:') THEN 'vancouver' WHEN regexp_matches(citation,'\(\d{4}[a-z]?\)\.\s') THEN 'apa' WHEN regexp_matches(citation,'["“].+["”].*\(\d{4}\)') THEN 'chicago' WHEN regexp_matches(citation,'["“].+["”].*\b\d{4}\b') THEN 'mla' ELSE 'unknown' END AS style FROM cited_sent WHERE citation IS NOT NULL AND NOT regexp_matches(citation,'[\r\n]')) SELECT style, count(*) AS n FROM s GROUP BY 1""")
+def citation_styles(spark, sf):
+    """of entries on one line."""
+    s = read(spark, sf, "cited_sent").filter(F.col("citation").isNotNull() & ~F.col("citation").rlike(r"[\r\n]")).select("cited_id", rules.style_of(F.col("citation")).alias("style")).distinct()
+    return s.groupBy("style").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FACTS}, c AS (SELECT 2000 + substring(month,1,2)::INT AS year, avg((NOT found)::INT) AS r FROM facts WHERE month IS NOT NULL GROUP BY 1), l AS (SELECT regr_slope(r,year) AS b, regr_intercept(r,year) AS a FROM c WHERE year < 2018) SELECT year, round(r - a - b*year, 6) AS excess FROM c, l")
+def detrended_by_year(spark, sf):
+    """M9."""
+    c = base.facts(spark, sf).filter(F.col("month").isNotNull()).groupBy(rates.citing_year(F.col("month")).alias("year")).agg(F.avg((~F.col("found")).cast("int")).alias("r"))
+    return stats.detrended(c, "year", "r", 2018)
+
+
+@query(f"WITH {FACTS}, p AS (SELECT 2000 + substring(month,1,2)::INT AS year, count_if(NOT found)::DOUBLE AS bad, count(*)::DOUBLE AS total FROM facts WHERE month IS NOT NULL GROUP BY month, paper), g AS (SELECT year, sum(bad)/sum(total) AS mean, sum(total*(bad/total)*(bad/total))/sum(total) - (sum(bad)/sum(total))*(sum(bad)/sum(total)) AS var, count(*) AS n FROM p GROUP BY 1), z AS (SELECT mean AS m0, var AS v0, n AS n0 FROM g WHERE year = 2020) SELECT year, round(mean - m0, 6) AS effect, round(sqrt(var/n + v0/n0), 6) AS se FROM g, z")
+def year_effects(spark, sf):
+    """M11."""
+    p = rates.per_paper(base.facts(spark, sf)).filter(F.col("month").isNotNull()).withColumn("year", rates.citing_year(F.col("month")))
+    return stats.year_effects(p, "year", "not_found", "total", 2020)
+
+
+@query(f"WITH {FACTS}, m AS (SELECT 2000 + substring(month,1,2)::INT AS x, count_if(NOT found) AS bad, count(*) AS total FROM facts WHERE month IS NOT NULL GROUP BY 1), s AS (SELECT unnest([2015.0,2018.0,2021.0])::DOUBLE AS onset) SELECT onset, round(sum(CASE WHEN x < onset THEN bad END)/sum(CASE WHEN x < onset THEN total END),6) AS pre, round(sum(CASE WHEN x >= onset THEN bad END)/sum(CASE WHEN x >= onset THEN total END),6) AS post, round(sum(CASE WHEN x >= onset THEN bad END)/sum(CASE WHEN x >= onset THEN total END) - sum(CASE WHEN x < onset THEN bad END)/sum(CASE WHEN x < onset THEN total END),6) AS difference FROM m, s GROUP BY 1")
+def onset_sweep(spark, sf):
+    """M5."""
+    m = base.facts(spark, sf).filter(F.col("month").isNotNull()).groupBy(rates.citing_year(F.col("month")).alias("x")).agg(F.count_if(~F.col("found")).alias("bad"), F.count("*").alias("total"))
+    return stats.onset_sweep(m, "x", "bad", "total", [2015.0, 2018.0, 2021.0])
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT paper, cited_id, list_distinct({base.content_sql('title')}) AS w FROM cited_sent WHERE _is_fake AND title IS NOT NULL), b AS (SELECT DISTINCT paper, cited_id AS other, list_distinct({base.content_sql('title')}) AS w FROM cited_sent WHERE NOT coalesce(_is_fake,false) AND title IS NOT NULL),
+    s AS (SELECT a.paper, a.cited_id, b.other, round(len(list_intersect(a.w,b.w))/len(a.w),6) AS overlap FROM a JOIN b ON a.paper = b.paper WHERE len(list_intersect(a.w,b.w)) > 0)
+    SELECT paper, cited_id, other, overlap FROM (SELECT *, row_number() OVER (PARTITION BY paper, cited_id ORDER BY overlap DESC, other) AS k FROM s WHERE overlap >= 0.4) WHERE k = 1"""
+)
+def fake_alignment(spark, sf):
+    """Each invented entry and the real one of its paper that it is most like."""
+    c = read(spark, sf, "cited_sent").filter(F.col("title").isNotNull()).select("paper", "cited_id", "_is_fake", keys.content_tokens(F.col("title")).alias("w")).distinct()
+    real = c.filter(~F.coalesce("_is_fake", F.lit(False))).select("paper", F.col("cited_id").alias("other"), F.col("w").alias("v"))
+    return match.best_overlap(c.filter("_is_fake"), real, "paper", "cited_id", "other", "w", "v")
