@@ -205,3 +205,20 @@ def test_quality(spark):
     dup = quality.describe("same line here\nsame line here\n\nother line")
     assert abs(dict(zip(quality.STATS.fieldNames(), dup))["dup_line_share"] - 14 / 38) < 1e-9
     assert quality.describe("word " * 200_000)[1] == 200_000
+
+
+def test_empty_and_null_tables(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id bigint, text string")
+    assert leakage.find_leaks(docs, items, "doc_id", "text", "item_id", "text").count() == 0
+    assert leakage.find_leaks(spark.createDataFrame([(1, "x y z")], "doc_id bigint, text string"), items.limit(0), "doc_id", "text", "item_id", "text").count() == 0
+    assert quality.with_quality(docs, "text").count() == 0
+    assert packing.pack(docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("tokens")), spark.createDataFrame([(1, 10)], "pack_id int, capacity int")).count() == 0
+    a = spark.createDataFrame([(1, None, None, None, None)], "id int, t string, y string, v string, p string")
+    assert entities.match(a, a.withColumnRenamed("id", "w"), ("id", "t", "y", "v", "p"), ("w", "t", "y", "v", "p")).count() == 0
+    c = spark.createDataFrame([(1, None, None, None)], "id int, c string, t string, j string")
+    assert scans.repair(c, "id", "c", ["t"], "j").count() == 0
+    assert names.link_names(spark.createDataFrame([(None,)], "n string"), "n").count() == 0
+    none = spark.createDataFrame([], "name_norm string, identity string, acr string, display_name string")
+    got = canonical_list.resolve(spark.createDataFrame([("Annals of Ice",), (None,)], "j string"), "j", none.select("name_norm", "identity"), none.select("acr", "identity"), none.select("identity", "display_name"))
+    assert rows(got, "value", "identity") == {("Annals of Ice", "unmatched")}
