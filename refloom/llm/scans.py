@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.ml.feature import Word2Vec
@@ -36,7 +37,6 @@ DIMENSIONS, MIN_SHARE = 24, 2e-6
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,40}>")
 _WORD = re.compile(r"[^\W\d_@!+$£|](?:[^\W_]|[@!+$£|])+|[@!+$£|0-9](?:[^\W_]|[@!+$£|])*[^\W\d_@!+$£|](?:[^\W_]|[@!+$£|])*")
 _MARKS = "-¬\u00ad‐‑"
-_CUT_END = re.compile(r"(\S*[^\W\d_]\S*?)([\-¬\u00ad‐‑])[ \t]*$")
 _PAGE = re.compile(r"^(?:page\s+\d+\s+of\s+\d+|(?:page|p\.|s\.)\s*\d+|[-—–]\s*\d+\s*[-—–]|\[\s*\d+\s*\]|\(\s*\d+\s*\)|\d{1,4}|[ivxlc]+)$", re.IGNORECASE)
 _FURNITURE_WORDS = frozenset("references bibliography literature cited notes contents continued index appendix".split())
 _STRONG = re.compile(r"^(?:references|bibliography|literature cited|notes|contents|appendix)(?: \(continued\))?$|^.{2,60} and others\b.*:", re.IGNORECASE)
@@ -46,8 +46,12 @@ _NEUTRAL = frozenset("vol pp no and und et the art".split())
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 
 
+_TO_SKELETON = str.maketrans(GLYPHS, SKELETON)
+
+
+@lru_cache(maxsize=1 << 16)
 def skeleton(word: str) -> str:
-    word = word.lower().translate(str.maketrans(GLYPHS, SKELETON))
+    word = word.lower().translate(_TO_SKELETON)
     for a, b in GROUPS:
         word = word.replace(a, b)
     return word
@@ -64,6 +68,18 @@ def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def _cut_end(text: str) -> tuple[str, int] | None:
+    """The begun word and the place of the mark, if the text ends with a mark behind a word with letters."""
+    end = len(text.rstrip(" \t"))
+    if not end or text[end - 1] not in _MARKS:
+        return None
+    at = end - 1
+    while at and not text[at - 1].isspace():
+        at -= 1
+    word = text[at : end - 1]
+    return (word, end - 1) if any(c.isalpha() for c in word) else None
+
+
 def repair_page(citation: str, fields: str, journal: str | None = "?") -> tuple[str, bool, bool, bool, str]:
     """(text without furniture, reflowed; whether words were cut, a header, a page number stood in it; fields in one form)."""
     known = canonical(_TAG.sub(" ", _ESCAPE.sub(lambda m: chr(int(m[1], 16)), fields)))
@@ -115,7 +131,7 @@ def repair_page(citation: str, fields: str, journal: str | None = "?") -> tuple[
     for line in lines:
         if not line:
             continue
-        before = kept[-1] if kept and _CUT_END.search(kept[-1]) else ""
+        before = kept[-1] if kept and _cut_end(kept[-1]) else ""
         parts = [p for p in re.split(r" {2,}|\t+", line) if p]
         ends = [i for i in (0, len(parts) - 1) if len(parts) > 1 and is_page(parts[i])]
         if is_page(line):
@@ -128,19 +144,19 @@ def repair_page(citation: str, fields: str, journal: str | None = "?") -> tuple[
             kept.append(line)
     text = ""
     for line in kept:
-        m = _CUT_END.search(text)
+        m = _cut_end(text)
         tail = re.match(r"[^\s.,;:()\[\]\"“”'’]+", line)
         if m and tail and re.match(r"[^\W\d_]|[@!+$£|0-9]+[^\W\d_]", line):
-            first = re.split(r"[\s(“\"]", m[1])[-1].lower()
-            whole, own = first + tail[0].lower(), f"{first}{m[2]}{tail[0].lower()}"
-            soft = m[2] in "¬\u00ad"
+            first, mark = re.split(r"[(“\"]", m[0])[-1].lower(), text[m[1]]
+            whole, own = first + tail[0].lower(), f"{first}{mark}{tail[0].lower()}"
+            soft = mark in "¬\u00ad"
             plain = {skeleton(w) for w in re.split(r"[\-¬\u00ad‐‑]", whole)}
-            is_own = skeleton(own) in joined_words or skeleton(first + m[2]) in joined_words
+            is_own = skeleton(own) in joined_words or skeleton(first + mark) in joined_words
             if soft or (not is_own and (skeleton(whole) in joined_words or plain <= known_words or any(w.startswith(skeleton(first)) and len(w) > len(first) for w in known_words))):
                 hyphen = True
-                text = text[: m.start(2)] + line
+                text = text[: m[1]] + line
                 continue
-            text = text[: m.end(2)] + line
+            text = text[: m[1] + 1] + line
             continue
         if text and text[-1] in "-–" and line[:1].isdigit():
             text += line
