@@ -114,6 +114,32 @@ def test_match(spark):
     assert not any(w in ("We", "Wc") for _, w in found) and all(0.5 <= r["confidence"] <= 1 for r in got)
 
 
+def test_mistyped_titles_are_candidates(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("bcdfglmnprst") + draw.choice("aeiou") for _ in range(draw.randint(2, 4)))
+    works = [(f"W{i}", " ".join(word() for _ in range(8)), 2000, str(i), str(100 + i)) for i in range(200)]
+
+    def typed(title, errors):
+        words = title.split()
+        for k in draw.sample(range(8), errors):
+            at = draw.randrange(1, len(words[k]))
+            words[k] = words[k][:at] + "x" + words[k][at + draw.randint(0, 1) :]
+        return " ".join(words)
+
+    two = [(i, typed(w[1], 2), None, None, None) for i, w in enumerate(works)]
+    begun = [(1000 + i, " ".join(w[1].split()[:4]) + " " + w[1].split()[4][:1], None, None, None) for i, w in enumerate(works)]
+    # Year and volume agree, the page is missing or wrong, and the title has one word left.
+    issue = [(2000 + i, w[1].split()[5], str(w[2]), w[3], None if i % 2 else "7") for i, w in enumerate(works)]
+    a = spark.createDataFrame(two + begun + issue, "id int, t string, y string, v string, p string")
+    b = spark.createDataFrame(works, "w string, t string, y int, v string, p string")
+    (l, l_keys), (r, r_keys) = entities._records(a, "id", "t", "y", "v", "p"), entities._records(b, "w", "t", "y", "v", "p")
+    found = entities.candidates(l, r).join(l_keys.withColumnRenamed("rid", "l"), "l").join(r_keys.select(F.col("rid").alias("r"), F.col("key").alias("w")), "r")
+    found = rows(found, "key", "w")
+    assert sum((i, f"W{i}") in found for i in range(200)) >= 198
+    assert all((k + i, f"W{i}") in found for k in (1000, 2000) for i in range(200))
+    assert len(found) < 3000
+
+
 # Scans
 
 
