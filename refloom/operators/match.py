@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.functions.keys import ascii_key, doi_key, journal_key, page_key, surname, volume_key
+from refloom.session import cut
 
 
 def latest(df: DataFrame, key: str, version: str) -> DataFrame:
@@ -110,24 +111,40 @@ def duplicate_conflicts(works: DataFrame, key: str = "doi") -> DataFrame:
     return works.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct("oa_id").alias("records"), (F.max("year") - F.min("year")).alias("year_spread"), F.count_distinct("journal_norm").alias("venues")).filter("records > 1")
 
 
-def fuzzy_title(refs: DataFrame, works: DataFrame, common: int = 3) -> DataFrame:
-    """Candidates by an inverted index of word triples, verified by containment and trigrams, the best for each reference.
+def fuzzy_title(refs: DataFrame, works: DataFrame) -> DataFrame:
+    """Candidates by inverted indexes, verified by containment and trigrams, the best for each reference.
 
-    Words in order of length, then alphabet, the five longest of a title: two titles that share ``common`` of them share
-    a triple, so every candidate comes from an equality join and no pair is tried out.
+    Every work that holds enough of a reference's words is a candidate: whatever the shared words are, the three rarest
+    of them lie in the prefix that is left when as many of the commonest words are taken away as may be needed for the
+    threshold, so the prefix's triples are looked up among all triples of the works; where fewer than three words may be
+    enough, single words are.  Works that share trigrams but not words come from MinHash bands.
     """
     from refloom.functions.keys import content_tokens, trigrams
-    from refloom.functions.similarity import containment, good, jaccard
-
-    def triples(df: DataFrame, key: str, title: str) -> DataFrame:
-        longest = F.slice(F.transform(F.array_sort(F.transform(F.array_distinct(content_tokens(F.col(title))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"]), 1, 5)
-        t = df.select(key, F.array_sort(longest).alias("w"))
-        combos = F.flatten(F.transform("w", lambda a: F.flatten(F.transform(F.filter("w", lambda b: b > a), lambda b: F.transform(F.filter("w", lambda c: c > b), lambda c: F.concat_ws(" ", a, b, c))))))
-        return t.select(key, F.explode(combos).alias("block"))
-
-    pairs = triples(refs, "cited_id", "title").join(triples(works, "oa_id", "title_norm"), "block").select("cited_id", "oa_id").distinct()
-    both = pairs.join(refs.select("cited_id", "title"), "cited_id").join(works.select("oa_id", "title_norm"), "oa_id")
-    contained = containment(content_tokens(F.col("title")), content_tokens(F.col("title_norm")))
+    from refloom.functions.similarity import containment, good, jaccard, minhash_bands
+
+    l = cut(refs.select("cited_id", "title", content_tokens(F.col("title")).alias("tokens")))
+    r = works.select("oa_id", "title_norm", F.array_sort(F.array_distinct(content_tokens(F.col("title_norm")))).alias("words"))
+    known = r.select("oa_id", F.explode("words").alias("w"))
+    counted = l.select("cited_id", F.size("tokens").alias("n"), F.explode("tokens").alias("w")).groupBy("cited_id", "n", "w").agg(F.count("*").alias("m"))
+    ranked = counted.join(known.groupBy("w").agg(F.count("*").alias("df")), "w", "left").groupBy("cited_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w", "m"))).alias("ws"))
+    ranked = ranked.withColumns({"k": F.ceil(F.col("n") * 0.6 - 1e-9), "most": F.array_max(F.transform("ws", lambda x: x["m"]))}).withColumn("by3", 2 * F.col("most") < F.col("k"))
+    least = F.col("k") - F.when(F.col("by3"), 2 * F.col("most")).otherwise(0)
+    rest = lambda i: F.aggregate(F.slice("ws", i + 1, F.size("ws")), F.lit(0).cast("bigint"), lambda t, x: t + x["m"])
+    probes = ranked.withColumn("head", F.filter("ws", lambda x, i: (x["df"] > 0) & (rest(i) >= least))).select("cited_id", "by3", F.array_sort(F.transform("head", lambda x: x["w"])).alias("words"))
+
+    def triples(df: DataFrame, key: str) -> DataFrame:
+        combos = F.flatten(F.transform("words", lambda a: F.flatten(F.transform(F.filter("words", lambda b: b > a), lambda b: F.transform(F.filter("words", lambda c: c > b), lambda c: F.xxhash64(a, b, c))))))
+        return df.select(key, F.explode(combos).alias("block"))
+
+    def bands(df: DataFrame, key: str, title: str) -> DataFrame:
+        return df.select(key, F.explode(minhash_bands(trigrams(F.col(title)))).alias("block"))
+
+    long = triples(probes.filter("by3"), "cited_id").join(triples(r, "oa_id"), "block").select("cited_id", "oa_id")
+    short = probes.filter("NOT by3").select("cited_id", F.explode("words").alias("w")).join(known, "w").select("cited_id", "oa_id")
+    alike = bands(l, "cited_id", "title").join(bands(r, "oa_id", "title_norm"), "block").select("cited_id", "oa_id")
+    pairs = long.unionByName(short).unionByName(alike).distinct()
+    both = pairs.join(l, "cited_id").join(r, "oa_id")
+    contained = containment(F.col("tokens"), F.col("words"))
     grams = jaccard(trigrams(F.col("title")), trigrams(F.col("title_norm")))
     kept = both.select("cited_id", "oa_id", F.round(contained, 6).alias("contained"), F.round(grams, 6).alias("grams")).filter(good(F.col("contained"), F.col("grams")))
     w = Window.partitionBy("cited_id").orderBy(F.desc("grams"), F.desc("contained"), "oa_id")

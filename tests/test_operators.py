@@ -1,9 +1,12 @@
 import datetime
 import json
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from refloom.functions.keys import content_tokens, trigrams
+from refloom.functions.similarity import containment, jaccard
 from refloom.operators import inject, match, rates, sampling, sentences, stats, vector
 from refloom.sources import tei
 from refloom.streaming.ingest import ingest
@@ -101,3 +104,23 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "paper string, month string, found boolean, nonacademic boolean, has_title boolean, has_doi boolean, reason string, identity string")
     for f in (rates.per_paper, rates.per_month, rates.channels, rates.reason_mix, rates.paper_level):
         assert f(empty).count() == 0
+
+
+def test_fuzzy_title_agrees_with_brute_force(spark):
+    draw = random.Random(4)
+    vocabulary = ["".join(draw.choice("bcdfglmnprst") + draw.choice("aeiou") for _ in range(draw.randint(2, 4))) for _ in range(60)]
+    works = [(f"W{i:03}", " ".join(draw.sample(vocabulary, draw.randint(1, 9)))) for i in range(300)]
+    words = [w[1].split() for w in works]
+    refs = [(i, " ".join(w[: max(1, len(w) * 2 // 3)])) for i, w in enumerate(words)]
+    refs += [(1000 + i, " ".join([*w[1:], draw.choice(vocabulary), draw.choice(w)])) for i, w in enumerate(words)]
+    refs += [(2000, "on the gap filling of mean field r"), (2001, "gap"), (2002, "of the"), (2003, None)]
+    works += [("X", "on the gap filling of mean field survey weights under intermittent supply")]
+    a, b = spark.createDataFrame(refs, "cited_id int, title string"), spark.createDataFrame(works, "oa_id string, title_norm string")
+    t, u = content_tokens(F.col("title")), content_tokens(F.col("title_norm"))
+    # All pairs; those with enough of the words are candidates for certain, so the best pair is never worse than theirs.
+    every = a.crossJoin(b).select("cited_id", "oa_id", F.round(containment(t, u), 6).alias("c"), F.round(jaccard(trigrams(F.col("title")), trigrams(F.col("title_norm"))), 6).alias("g")).filter("c >= 0.6")
+    want = {r["cited_id"]: (r["g"], r["c"]) for r in every.groupBy("cited_id").agg(F.max(F.struct("g", "c")).alias("m")).select("cited_id", "m.*").collect()}
+    got = {r["cited_id"]: r for r in match.fuzzy_title(a, b).collect()}
+    assert len(want) > 550 and want.keys() <= got.keys()
+    assert all((got[i]["grams"], got[i]["contained"]) >= m for i, m in want.items())
+    assert got[2000]["oa_id"] == "X" and not {2002, 2003} & got.keys()
