@@ -38,8 +38,6 @@ KINDS = {
 _SMALL = ("the", "for", "on", "of", "and", "in", "&")
 #: Edits between two spellings of a family name: one, or two neighbours swapped.
 EDITS = 2
-#: Spellings that a mistyped family name may have, at most.
-SLIP = 4
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -164,9 +162,9 @@ def link_names(spellings: DataFrame, column: str) -> DataFrame:
     families = similar_strings(size, "family").filter((F.col("distance") == 1) | _swapped(F.col("a"), F.col("b")))
     x, y = (size.select(*[F.col(c).alias(f"{k}_{c}") for c in size.columns]) for k in "xy")
     typed = families.join(x, F.col("a") == F.col("x_family")).join(y, (F.col("b") == F.col("y_family")) & (F.col("x_initial") == F.col("y_initial")))
-    # A slip of the pen has few spellings beside the true name; two names with many of their own are two persons.
+    # Given names decide, not how many spellings there are: that grows with the tables.
     agree = (F.size("x_givens") == 0) | (F.size("y_givens") == 0) | F.exists("x_givens", lambda g: F.exists("y_givens", lambda h: F.levenshtein(g, h) <= 2))
-    typed = typed.filter(agree & (F.least("x_spellings", "y_spellings") <= SLIP)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    typed = typed.filter(agree).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
     same = size.select("node", F.struct(_umlauts(F.col("family")).alias("f"), "initial").alias("key"))
     written = same.select(F.col("node").alias("a"), "key").join(same.select(F.col("node").alias("b"), "key"), "key").filter("a < b").select("a", "b")
     # A slip in the first letter of a given name moves it to another initial of the same family name.

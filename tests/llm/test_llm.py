@@ -83,6 +83,15 @@ def test_names(spark):
     assert rows(names.pairs(names.link_names(df.limit(0), "n")), "name_a") == set()
 
 
+def test_a_link_does_not_depend_on_the_number_of_spellings(spark):
+    forms = ["{}, Elizabeth", "E. {}", "{} E", "{}, E.", "{}, Liz", "{}, Elizabeth P.", "E. P. {}"]
+    true, slip, other = ([f.format(n) for f in forms] for n in ("Carstensen", "Carstenson", "Carstansen"))
+    other = [n.replace("Elizabeth", "Eduardo").replace("Liz", "Eduardo") for n in other]
+    df = spark.createDataFrame([(n,) for n in true + slip + other], "n string")
+    got = {r["name"]: r["entity"] for r in names.link_names(df, "n").collect()}
+    assert len({got[n] for n in true + slip}) == 1 and got[other[0]] != got[true[0]]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(30)] + [("x", "y")], "a string, b string")
     nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(31)] + [("x",), ("y",), ("z",)], "v string")
