@@ -1,6 +1,6 @@
 """Passages of evaluation items inside documents.
 
-Size-partitioned MinHash containment search: items and documents are cut into windows of few words, so that a short
+MinHash containment search over windows of fixed size, not partitioned by the sizes of the sets: items and documents are cut into windows of few words, so that a short
 passage is a large part of the window it stands in, however long the document; short documents are windows of their own
 size.  Windows that share a minimum under one of the hash functions are candidates.  A window can only share one if it
 holds a shingle of an item, so documents are first searched for those, and minima are computed for windows around them
@@ -10,7 +10,7 @@ of the document, and the aligned stretch must be long and dense enough.
 Items are a stated query set: they are taken in blocks of bounded size, each block against all documents.
 
 Defined results: null and blank texts hold nothing; items shorter than ``least`` words are found only as a whole, from
-five words on; an item that stands twice in a document is reported once; repeated items and documents each count.
+nine words on; an item that stands twice in a document is reported once; repeated items and documents each count.
 """
 
 from __future__ import annotations
