@@ -1,7 +1,12 @@
 """Text that looks the same in different characters, brought to one form.
 
-A quick check isolates the rows, and within a row the segments, that normalisation could change; only those are
-normalised, with one character of context on either side, and spliced into the unchanged text.
+The quick-check property of compatibility composition (NFKC_QC) and the combining class isolate the rows, and within a row
+the segments, that normalisation could change; only those are normalised, with one stable character of context on either
+side, and spliced into the unchanged text.  Stable characters begin no composition with what stands before them, so
+nothing outside the segment and its context can change.
+
+Two texts read the same if they agree in case folding and with each run of characters that are no letters, marks or digits
+as one blank; what has no width vanishes, so a word that lost its blank stays another word.
 
 Defined results: null gives null, '' and text without a letter or digit give ''; stable text costs no Python at all.
 """
@@ -30,9 +35,10 @@ LOOKALIKES = {
     "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ſ": "s", "Ɩ": "I",
 }
 
-#: What no form of normalisation here can change: ASCII, precomposed Latin-1 letters but the sharp s, common punctuation.
-STABLE = r"\x00-\x7FÀ-ÖØ-Þà-öø-ÿ‐-—‘’“”"
-_UNSTABLE = regex.compile(rf"[^{STABLE}]\p{{M}}*(?:[^{STABLE}]\p{{M}}*)*")
+_CHANGED = r"\p{NFKC_QC=No}\p{NFKC_QC=Maybe}\P{ccc=0}\p{Cf}\p{Default_Ignorable_Code_Point}" + "".join(LOOKALIKES)
+#: Segments that normalisation may change; two with but one stable character between them are one, so that each has a
+#: character of context of its own.
+_UNSTABLE = regex.compile(rf"[^{_CHANGED}]?[{_CHANGED}]+(?:[^{_CHANGED}][{_CHANGED}]+)*[^{_CHANGED}]?", regex.DOTALL)
 _IGNORABLE = regex.compile(r"[\p{Cf}\p{Default_Ignorable_Code_Point}]+")
 #: Everything set aside in comparison; marks stay, for they tell letters apart.
 SET_ASIDE = r"[^\p{L}\p{N}\p{M}]+"
@@ -44,36 +50,37 @@ def _table() -> dict[int, str]:
     return {ord(a): b for a, b in LOOKALIKES.items()}
 
 
+@lru_cache(maxsize=1)
+def _java_class() -> str:
+    """The characters that may change, as ranges of a Java pattern, from the same properties."""
+    one, ranges = regex.compile(f"[{_CHANGED}]"), []
+    for i in (*range(0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE1000)):
+        if one.match(chr(i)):
+            if ranges and ranges[-1][1] == i - 1:
+                ranges[-1][1] = i
+            else:
+                ranges.append([i, i])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
+
+
 def _segment(text: str) -> str:
-    text = _IGNORABLE.sub("", text)
-    if not unicodedata.is_normalized("NFKC", text):
-        text = unicodedata.normalize("NFKC", text)
+    text = unicodedata.normalize("NFKC", _IGNORABLE.sub("", text))
     return unicodedata.normalize("NFC", text.translate(_table()))
 
 
 def canonical(text: str) -> str:
     """One form of the text: compatibility composition, look-alikes as Latin letters, nothing invisible."""
-    out, at = [], 0
-    for m in _UNSTABLE.finditer(text):
-        start, end = m.span()
-        # Context: the character before may take a mark of the segment, or one behind a mark that vanishes.
-        start = max(at, start - 1)
-        out.append(text[at:start])
-        out.append(_segment(text[start:end]))
-        at = end
-    out.append(text[at:])
-    joined = "".join(out)
-    return joined if unicodedata.is_normalized("NFC", joined) else unicodedata.normalize("NFC", joined)
+    return text if text.isascii() else _UNSTABLE.sub(lambda m: _segment(m[0]), text)
 
 
 def reading(text: str) -> str:
-    """The canonical form without case, punctuation and blanks: equal where two texts read the same."""
-    return _ASIDE.sub("", canonical(text).casefold())
+    """The canonical form in lower case, runs of punctuation and blanks as one blank: equal where two texts read the same."""
+    return _ASIDE.sub(" ", canonical(text).lower().replace("ß", "ss").replace("ς", "σ")).strip(" ")
 
 
 def is_stable(c: Column) -> Column:
-    """The quick check, in the JVM."""
-    return c.rlike(rf"^[{STABLE}]*$")
+    """The quick check, in the JVM: no character that normalisation may change."""
+    return c.rlike(rf"^(?:[\x00-\x7F]++|[^\x00-\x7F{_java_class()}])*+$")
 
 
 @F.pandas_udf(T.StringType())
@@ -102,7 +109,8 @@ def with_canonical(df: DataFrame, column: str, out: str = "canonical") -> DataFr
 
 def with_reading(df: DataFrame, column: str, out: str = "reading") -> DataFrame:
     """Adds the form that is equal for texts that read the same; replaces a column named ``out``."""
-    return _routed(df, column, out, F.regexp_replace(F.lower(F.col(f"`{column}`")), SET_ASIDE, ""), _reading)
+    folded = F.replace(F.replace(F.lower(F.col(f"`{column}`")), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    return _routed(df, column, out, F.trim(F.regexp_replace(folded, SET_ASIDE, " ")), _reading)
 
 
 def reads_like(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:

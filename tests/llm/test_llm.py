@@ -27,9 +27,12 @@ def test_canonical_segments_agree_with_whole_text():
 
 def test_reads_like(spark):
     a = spark.createDataFrame([(1, "Ｈｅаrt​ valves: II"), (2, "heart valves"), (3, None), (4, ""), (5, "---"), (1, "Ｈｅаrt​ valves: II")], "id int, t string")
-    b = spark.createDataFrame([("x", "heart valves ii"), ("y", None), ("z", "")], "k string, n string")
+    b = spark.createDataFrame([("x", "heart valves ii"), ("w", "heartvalves ii"), ("v", "heart val ves"), ("y", None), ("z", "")], "k string, n string")
     assert rows(lookalike.reads_like(a, b, "t", "n"), "id", "k") == {(1, "x")}
     assert lookalike.with_canonical(a, "t", "t").filter("id = 1").first()["t"] == "Heart valves: II"
+    stable = {"各国の統計": True, "żółć naïve": True, "ждём": False, "ﬁn": False, "e\u0301": False, "a\u200bb": False, "a\u00a0b": False, "": True}
+    c = spark.createDataFrame([(k,) for k in stable], "t string")
+    assert {r["t"]: r["s"] for r in c.select("t", lookalike.is_stable(F.col("t")).alias("s")).collect()} == stable
 
 
 # Canonical list
