@@ -1,23 +1,26 @@
 """Passages of evaluation items inside documents.
 
-MinHash containment search over windows of fixed size, not partitioned by the sizes of the sets: items and documents are cut into windows of few words, so that a short
-passage is a large part of the window it stands in, however long the document; short documents are windows of their own
-size.  Windows that share a minimum under one of the hash functions are candidates.  A window can only share one if it
-holds a shingle of an item, so documents are first searched for those, and minima are computed for windows around them
-alone; nothing is lost by it.  Candidates are verified by exact containment: the words of the item are aligned with those
-of the document, and the aligned stretch must be long and dense enough.
+Size-partitioned MinHash containment search.  Items are parted by the size of their sets of word shingles, and each part has
+document windows of its own: items of up to six shingles meet windows of exactly their size, longer ones are cut into
+windows of 16 words that meet windows of 32 words, so that a short passage is a large part of the window it stands in,
+however long the document.  Windows that share a minimum under one of the hash functions are candidates.  A window can
+only share one if it holds a shingle of an item, so documents are first searched for those, and minima are computed for
+windows around them alone; nothing is lost by it.  Candidates are verified by exact containment: so many shingles of the
+item stand in the window, and the words of the item are aligned with those of the document, where the aligned stretch must
+be long and dense enough.
 
 Items are a stated query set: they are taken in blocks of bounded size, each block against all documents.
 
-Defined results: null and blank texts hold nothing; items shorter than ``least`` words are found only as a whole, from
-nine words on; an item that stands twice in a document is reported once; repeated items and documents each count.
+Defined results: null and blank texts hold nothing; items of under nine words are found word for word (two changes in so
+few leave no shingle), items of nine and more, but fewer than ``least``, as a whole with changes; an item that stands
+twice in a document is reported once; repeated items and documents each count.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +33,12 @@ SHINGLE = 3
 ITEM_WINDOW, ITEM_STEP = 16, 4
 DOC_WINDOW, DOC_STEP = 32, 8
 HASHES = 48
-#: Shingles that a stretch of 15 words still shares when two of its words are changed: 13 less 3 for each change.
+#: Shingles that a stretch of 15 words still shares when two of its words are changed: 13 less 3 for each change.  Items
+#: that have no more than that many less one are in parts of their own, one for each size.
 MIN_SHARED = 7
 #: What a changed, missing or added word costs where a matching one gains 1; so two stretches far apart stay two.
 EDIT = 2
-#: Items of a block; their sketch, about 100 kB for 100 items, goes to every executor.
+#: Items of a block; their sketch, about 40 MB for items of 60 words, goes to every executor.
 BLOCK = 5000
 _MERSENNE = (1 << 31) - 1
 _WORD = re.compile(r"\w+")
@@ -48,22 +52,6 @@ def words(text: str) -> list[str]:
     return _WORD.findall(_JOINT.sub("", text).lower().replace("_", " "))
 
 
-def _sentences(text: str) -> list[str]:
-    return re.split(r"(?<=[.!?:])\s+", text.strip())
-
-
-def without_instruction(texts: list[str]) -> list[str]:
-    """The texts without an opening sentence that several different ones share."""
-    first = Counter(_sentences(t)[0] for t in set(texts) if len(_sentences(t)) > 1)
-    out = []
-    for t in texts:
-        parts = _sentences(t)
-        while len(parts) > 1 and first.get(parts[0], 0) > 1:
-            parts = parts[1:]
-        out.append(" ".join(parts))
-    return out
-
-
 class Sketch:
     """What is known of a block of items: vocabulary, shingles, minima of their windows."""
 
@@ -78,20 +66,47 @@ class Sketch:
         self.coded = [np.array([self.vocabulary[x] for x in w], dtype=np.int64) for w in self.words]
         shingles = [self.shingles(c) for c in self.coded]
         self.own = [frozenset(x.tolist()) for x in shingles]
-        self.known = np.unique(np.concatenate([*shingles, np.zeros(0, np.int64)]))
+        self.known = np.unique(np.concatenate([*(x for x in shingles if len(x) >= MIN_SHARED), np.zeros(0, np.int64)]))
         draw = np.random.default_rng(7)
         self.a = draw.integers(1, _MERSENNE, HASHES, dtype=np.int64)
         self.b = draw.integers(0, _MERSENNE, HASHES, dtype=np.int64)
-        self.minima: list[dict[int, set[int]]] = [defaultdict(set) for _ in range(HASHES)]
+        #: The part of the long items: of each hash function the minima in order and the items that have them.
+        size = ITEM_WINDOW - SHINGLE + 1
+        minima, of = [np.zeros((HASHES, 0), np.int64)], []
+        #: The parts of the short ones: by number of words one number for the whole text.
+        short: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, s in enumerate(shingles):
-            for at in range(0, max(1, len(s) - (ITEM_WINDOW - SHINGLE)), ITEM_STEP):
-                window = s[at : at + ITEM_WINDOW - SHINGLE + 1]
-                if len(window):
-                    for j, m in enumerate(self.hashed(window).min(axis=1)):
-                        self.minima[j][int(m)].add(i)
-            if len(s) > ITEM_WINDOW - SHINGLE + 1:
-                for j, m in enumerate(self.hashed(s[-(ITEM_WINDOW - SHINGLE + 1) :]).min(axis=1)):
-                    self.minima[j][int(m)].add(i)
+            if len(s) < MIN_SHARED:
+                if len(self.coded[i]):
+                    short[len(self.coded[i])].append((self.whole(self.coded[i][None, :])[0], i))
+                continue
+            starts = {*range(0, max(1, len(s) - size + 1), ITEM_STEP), max(0, len(s) - size)}
+            minima += [self.hashed(s[at : at + size]).min(axis=1)[:, None] for at in sorted(starts)]
+            of += [i] * len(starts)
+        table, of = np.concatenate(minima, axis=1), np.array(of, np.int32)
+        order = np.argsort(table, axis=1, kind="stable")
+        self.minima, self.of = np.take_along_axis(table, order, axis=1), of[order] if len(of) else np.zeros((HASHES, 0), np.int32)
+        self.short = {n: dict(_grouped(x)) for n, x in sorted(short.items())}
+
+    def whole(self, windows: np.ndarray) -> list[int]:
+        """One number for each row of words; it says little alone, so what has it is compared word by word."""
+        with np.errstate(over="ignore"):
+            return (windows * self._weights(windows.shape[1])).sum(axis=1).tolist()
+
+    @staticmethod
+    def _weights(n: int) -> np.ndarray:
+        return np.random.default_rng(n).integers(1, 1 << 62, n, dtype=np.int64) | 1
+
+    def verbatim(self, coded: np.ndarray) -> set[int]:
+        """The short items that stand in the document word for word."""
+        found = set()
+        for n, items in self.short.items():
+            known = (coded != 0).astype(np.int64)
+            runs = np.flatnonzero(np.convolve(known, np.ones(n, np.int64), "valid") == n) if len(coded) >= n else ()
+            if len(runs):
+                for at, code in zip(runs.tolist(), self.whole(coded[runs[:, None] + np.arange(n)])):
+                    found.update(i for i in items.get(code, ()) if np.array_equal(self.coded[i], coded[at : at + n]))
+        return found
 
     def shingles(self, coded: np.ndarray) -> np.ndarray:
         """One number for each run of SHINGLE words."""
@@ -123,13 +138,28 @@ class Sketch:
         for k in np.flatnonzero(after - before >= MIN_SHARED).tolist():
             at = k * DOC_STEP
             inside = set(s[hits[before[k] : after[k]]].tolist())
-            shared = {i for j, m in enumerate(self.hashed(s[at : at + size]).min(axis=1).tolist()) for i in self.minima[j].get(m, ())}
-            for i in shared:
+            for i in self.sharing(self.hashed(s[at : at + size]).min(axis=1)):
                 # Exact containment: so many shingles of the item stand in this window.
                 if len(self.own[i] & inside) >= MIN_SHARED:
                     found[i].append((at, at + DOC_WINDOW))
         return found
 
+    def sharing(self, minima: np.ndarray) -> set[int]:
+        """The long items with a window that has one of these minima under the same hash function."""
+        out: set[int] = set()
+        for table, of, m in zip(self.minima, self.of, minima):
+            low = np.searchsorted(table, m)
+            if low < len(table) and table[low] == m:
+                out.update(of[low : np.searchsorted(table, m, side="right")].tolist())
+        return out
+
+
+def _grouped(pairs: list[tuple[int, int]]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = defaultdict(list)
+    for k, v in pairs:
+        out[k].append(v)
+    return out
+
 
 def longest_passage(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
     """(words of the item, matched words) of the best aligned stretch: a match gains one, an edit costs EDIT."""
@@ -167,7 +197,7 @@ def passages(sketch: Sketch, text: str | None) -> list[tuple[int, int, int]]:
         return []
     get = sketch.vocabulary.get
     coded = np.array([get(w, 0) for w in words(text)], dtype=np.int64)
-    out = []
+    out = [(sketch.ids[i], len(sketch.coded[i]), len(sketch.coded[i])) for i in sorted(sketch.verbatim(coded))]
     for i, windows in sketch.candidates(coded).items():
         best, at = (0, 0), 0
         while at < len(windows):
@@ -204,7 +234,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_i
             whole = {i: len(w) for i, w in zip(sketch.ids, sketch.words)}
             for part in parts:
                 found = [(d, *p) for d, t in zip(part[doc_id], part[text]) for p in passages(sketch, t)]
-                kept = [x for x in found if x[2] >= min(least, max(5, whole[x[1]])) and x[3] >= density * x[2]]
+                kept = [x for x in found if x[2] >= min(least, whole[x[1]]) and x[3] >= density * x[2]]
                 yield pd.DataFrame(kept, columns=[doc_id, item_id, "words", "matched"])
 
         part = corpus.mapInPandas(search, schema)

@@ -227,6 +227,21 @@ def test_leaks(spark):
     assert rows(leakage.find_leaks(a, b, "doc_id", "text", "item_id", "text"), "doc_id", "item_id") == want
 
 
+def test_items_of_every_length_are_found(spark):
+    draw = random.Random(6)
+    vocabulary = [f"w{i}x" for i in range(500)]
+    filler = lambda n: " ".join(draw.choice(vocabulary) for _ in range(n))
+    items = {n: filler(n) for n in range(1, 31)}
+    docs = [(n, f"{' '.join(['other'] * 40)} {t}, {' '.join(['words'] * 90)}") for n, t in items.items()] + [(100, filler(4))]
+    a = spark.createDataFrame(docs, "doc_id int, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id int, text string")
+    got = rows(leakage.find_leaks(a, b, "doc_id", "text", "item_id", "text"), "doc_id", "item_id")
+    assert {(n, n) for n in items} <= got
+    # A document holds a short item exactly if its words stand there one behind the other.
+    want = {(d, n) for d, x in docs for n, t in items.items() if n < 9 and f" {t} " in f" {x.replace(',', '')} "}
+    assert {x for x in got if x[1] < 9} == want
+
+
 # Quality
 
 
