@@ -1,15 +1,17 @@
 """Spellings of names of persons and organisations, linked where they mean the same one.
 
-A spelling is read into a family name and the initial of the given name (of its formal form, where a nickname stands);
-an organisation into its own word and its kind.  Spellings with equal readings are one group.  Family names that differ
-by a typing error are found by a pigeonhole segment join: each is cut into k + 1 segments, substrings at shifted places
-are looked up in the index of segments, and the pairs are verified with a banded edit distance.  Groups linked that way
-are merged by their smallest label, round by round, until nothing changes.
+A spelling is normalised: its parts in one order, the family name and the initial of the given name (of its formal form,
+where a nickname stands); an organisation as its own word and its kind.  Spellings with equal normal forms are copies of
+one.  A pigeonhole segment join over the whole normal forms finds those that differ by a typing error: each is cut into
+k + 1 segments, substrings at shifted places are looked up in the index of segments, and the pairs are verified with a
+banded edit distance and with the given names that the spellings have in full.  Groups linked that way are merged by their
+smallest label, round by round, until nothing changes.  A family name alone is linked to the only one known by it.
 
 Everything but the rounds is built-in expressions over distinct spellings; a name that a third of all rows share is one
 spelling.  Pairs within a group are joined by the group, so their number is that of the pairs asked for.
 
-Defined results: null, blank and "Anonymous" are no names; a name of one word links to nothing but itself.
+Defined results: null, blank and "Anonymous" are no names; a family name alone that belongs to several, or to none, links
+to nothing but the same name alone.
 """
 
 from __future__ import annotations
@@ -64,7 +66,10 @@ def _initial(given: Column) -> Column:
 
 
 def readings(spellings: DataFrame) -> DataFrame:
-    """(name, family, given, initial, sure): how each spelling may be read; two ways where its order is open."""
+    """(name, family, given, initial, sure): how each spelling may be read; two ways where its order is open.
+
+    A family name alone has no initial.
+    """
     n = spellings.select("name", F.regexp_replace(F.trim("name"), r"\s+", " ").alias("n"))
     for _ in range(2):
         n = n.withColumn("n", F.regexp_replace("n", r"\b(Van|Von|De|Der|Den|Del|Di|Da|Du|La|Le)(?=\p{Lu}\p{Ll})", "$1 "))
@@ -74,17 +79,21 @@ def readings(spellings: DataFrame) -> DataFrame:
     # Of an organisation the first word of its own and the first kind; what it is for tells it apart only by its kind.
     organisation = (F.size("kinds") > 0) & (F.size("own") > 0) & ~F.col("n").contains(",")
     lead = F.filter("own", lambda w: F.length(w) > 3)
-    org = n.filter(organisation & (F.size(lead) > 0)).select("name", F.get(lead, F.lit(0)).alias("family"), F.lit("").alias("given"), F.concat(F.lit("#"), F.get("kinds", F.lit(0))).alias("initial"), F.lit(True).alias("sure"))
+    org = n.filter(organisation).select("name", F.coalesce(F.get(lead, F.lit(0)), F.get("own", F.lit(0))).alias("family"), F.lit("").alias("given"), F.concat(F.lit("#"), F.get("kinds", F.lit(0))).alias("initial"), F.lit(True).alias("sure"))
 
     p = n.filter(~organisation).withColumn("comma", F.col("n").contains(","))
     p = p.withColumn("left", F.when(F.col("comma"), F.regexp_extract("n", r"^([^,]*)", 1))).withColumn("right", F.when(F.col("comma"), F.regexp_extract("n", r"^[^,]*,\s*(.*)$", 1)))
-    letters = F.transform(F.split(F.regexp_replace(F.col("right"), r"[.,]", " "), "[ ]+"), fold)
-    with_comma = p.filter("comma").select("name", F.array_join(_own(F.transform(F.split("left", " "), fold)), " ").alias("family"), F.coalesce(F.get(_own(letters), F.lit(0)), F.lit("")).alias("given"))
+    # Behind a comma a particle in capitals is initials.
+    letters = F.filter(F.split(F.regexp_replace(F.col("right"), r"[.,]", " "), "[ ]+"), lambda w: (w != "") & (w.rlike(r"^\p{Lu}+$") | ~F.lower(w).isin(*PARTICLES)))
+    with_comma = p.filter("comma").select("name", F.array_join(_own(F.transform(F.split("left", " "), fold)), " ").alias("family"), F.coalesce(fold(F.get(letters, F.lit(0))), F.lit("")).alias("given"))
     with_comma = with_comma.select("name", "family", "given", _initial(F.col("given")).alias("initial"), F.lit(True).alias("sure"))
 
     bare = p.filter(~F.col("comma")).withColumn("tokens", F.split("n", " "))
-    # Initials: capitals of up to three letters, with dots or hyphens or without.
-    is_initials = lambda w: w.rlike(r"^(?:\p{Lu}\.?-?){1,3}$") & ~F.lower(w).isin(*PARTICLES)
+    # Initials: any number of capitals with dots, up to three without; a particle only as capitals at the end of a name
+    # that is not in capitals itself.
+    last = F.when(F.exists("tokens", lambda x: x.rlike(r"\p{Ll}")), F.element_at("tokens", -1))
+    particle = lambda w: F.lower(w).isin(*PARTICLES) & ~F.coalesce((w == last) & w.rlike(r"^\p{Lu}+$"), F.lit(False))
+    is_initials = lambda w: w.rlike(r"^(?:(?:\p{Lu}\.?-?){1,3}|(?:\p{Lu}\.-?)+)$") & ~particle(w)
     # Where nothing else is left, three capitals without a dot are a short family name.
     loose = F.exists("tokens", lambda w: ~is_initials(w) & ~F.lower(w).isin(*PARTICLES))
     taken = lambda w: is_initials(w) & (F.col("loose") | ~w.rlike(r"^\p{Lu}{3}$"))
@@ -98,7 +107,7 @@ def readings(spellings: DataFrame) -> DataFrame:
     open_order = (F.size("initials") == 0) & (F.size("rest") == 2) & (led | ~F.exists("tokens", lambda w: F.lower(w).isin(*PARTICLES)))
     many = many.select("name", F.explode(F.when(led, F.array("east")).when(open_order, F.array("west", "east")).otherwise(F.array("west"))).alias("r"), F.when(open_order & ~led, False).otherwise(True).alias("sure"))
     many = many.select("name", "r.family", "r.given", _initial(F.col("r.given")).alias("initial"), "sure")
-    return org.unionByName(with_comma).unionByName(single).unionByName(many).filter((F.col("family") != "") & (F.col("initial") != ""))
+    return org.unionByName(with_comma).unionByName(single).unionByName(many).filter(F.col("family") != "")
 
 
 def _settled(r: DataFrame) -> DataFrame:
@@ -155,29 +164,42 @@ def link_names(spellings: DataFrame, column: str) -> DataFrame:
     """(name, entity): the spellings of a column, those of one person or organisation under one entity."""
     # Written out: what follows reads the names, their readings and the groups several times each.
     names = cut(spellings.select(F.trim(F.col(f"`{column}`"), F.lit(" \t\r\n\u00a0")).alias("name")).filter((F.col("name") != "") & (F.lower("name") != "anonymous")).distinct())
-    read = cut(_settled(cut(readings(names))).withColumn("node", F.concat_ws("|", "family", "initial")))
+    both = cut(readings(names))
+    alone = both.filter("initial = ''").select("name", "family").distinct()
+    read = cut(_settled(both.filter("initial <> ''")).withColumn("node", F.concat_ws("|", "family", "initial")))
     size = read.groupBy("node", "family", "initial").agg(F.count("*").alias("spellings"), F.collect_set(F.when(F.length("given") > 2, F.coalesce(_map(NICKNAMES)[F.col("given")], F.col("given")))).alias("givens"))
     size = cut(size)
 
-    families = similar_strings(size, "family").filter((F.col("distance") == 1) | _swapped(F.col("a"), F.col("b")))
     x, y = (size.select(*[F.col(c).alias(f"{k}_{c}") for c in size.columns]) for k in "xy")
-    typed = families.join(x, F.col("a") == F.col("x_family")).join(y, (F.col("b") == F.col("y_family")) & (F.col("x_initial") == F.col("y_initial")))
+    near = similar_strings(size, "node").join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
+    near = cut(near.filter((F.col("distance") == 1) | _swapped(F.col("a"), F.col("b"))))
     # Given names decide, not how many spellings there are: that grows with the tables.
     agree = (F.size("x_givens") == 0) | (F.size("y_givens") == 0) | F.exists("x_givens", lambda g: F.exists("y_givens", lambda h: F.levenshtein(g, h) <= 2))
-    typed = typed.filter(agree).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    slip = lambda g, h: (F.levenshtein(g, h) <= 1) | _swapped(g, h)
+    # A slip in the first letter of a given name moves it to another initial of the same family name.
+    moved = F.exists("x_givens", lambda g: F.exists("y_givens", lambda h: slip(g, h)))
+    typed = near.filter(F.when(F.col("x_initial") == F.col("y_initial"), agree).when(F.col("x_family") == F.col("y_family"), moved).otherwise(False)).select("a", "b")
     same = size.select("node", F.struct(_umlauts(F.col("family")).alias("f"), "initial").alias("key"))
     written = same.select(F.col("node").alias("a"), "key").join(same.select(F.col("node").alias("b"), "key"), "key").filter("a < b").select("a", "b")
-    # A slip in the first letter of a given name moves it to another initial of the same family name.
-    given = size.select("node", "family", "initial", F.explode("givens").alias("given"))
-    g, h = (given.select(*[F.col(c).alias(f"{k}_{c}") for c in given.columns]) for k in "gh")
-    moved = g.join(h, (F.col("g_family") == F.col("h_family")) & (F.col("g_initial") < F.col("h_initial"))).filter((F.levenshtein("g_given", "h_given") <= 1) | _swapped(F.col("g_given"), F.col("h_given")))
-    moved = moved.select(F.col("g_node").alias("a"), F.col("h_node").alias("b"))
-    labels = components(size, typed.unionByName(written).unionByName(moved), "node")
-    return read.join(labels, "node").select("name", F.col("label").alias("entity"))
-
-
-
-
+    labels = cut(components(size, typed.unionByName(written), "node"))
+    linked = read.join(labels, "node").select("name", F.col("label").alias("entity"))
+    return linked.unionByName(_alone(alone, size.join(labels, "node").select("family", "label")))
+
+
+def _alone(alone: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, entity) for family names alone: the only one known by the name, else by one a typing error away."""
+    one = lambda d: d.groupBy("name").agg(F.min("label").alias("label"), F.count_distinct("label").alias("n"))
+    key = lambda d: d.withColumn("key", _umlauts(F.col("family")))
+    known = cut(key(known).select("key", "label").distinct())
+    alone = cut(key(alone))
+    exact = cut(one(alone.join(known, "key")))
+    rest = alone.join(exact, "name", "left_anti")
+    families = known.select("key").unionByName(rest.select("key")).distinct()
+    near = similar_strings(families, "key").filter((F.col("distance") == 1) | _swapped(F.col("a"), F.col("b"))).select("a", "b")
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    typed = one(rest.join(near, F.col("key") == F.col("a")).join(known.select(F.col("key").alias("b"), "label"), "b"))
+    found = exact.unionByName(typed).filter("n = 1").select("name", "label")
+    return alone.join(found, "name", "left").select("name", F.coalesce("label", F.concat("key", F.lit("|"))).alias("entity"))
 
 
 def pairs(linked: DataFrame) -> DataFrame:

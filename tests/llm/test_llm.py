@@ -77,8 +77,11 @@ def test_names(spark):
     van = ["van der Doe, Anna", "A. VanDerDoe", "VAN DER DOE A", "Doe, Anna van der"]
     org = ["The Ferro Working Group on Ice & Snow", "Ferro WG on Ice & Snow", "Working Group Ferro on Ice & Snow"]
     filler = [f"{f}, {g}" for f in ("Karst", "Lumen", "Mirov") for g in ("Elizabeth", "Robert", "Anna")]
-    df = spark.createDataFrame([(n,) for n in same + other + umlaut + van + org + filler + [None, "", " ", "Anonymous", "Smith, E."]], "n string")
+    df = spark.createDataFrame([(n,) for n in same + other + umlaut + van + org + filler + ["Zinloerno", "Karst", "Nobody", "Mirov DA", "Mirov, DA", "D. A. Mirov"] + [None, "", " ", "Anonymous", "Smith, E."]], "n string")
     got = {r["name"]: r["entity"] for r in names.link_names(df, "n").collect()}
+    # A family name alone is linked where but one is known by it.
+    assert got["Zinloerno"] == got[umlaut[0]] and got["Karst"] == "karst|" and got["Nobody"] == "nobody|"
+    assert len({got[n] for n in ("Mirov DA", "Mirov, DA", "D. A. Mirov")}) == 1
     for group in (same, other, umlaut, van, org):
         assert len({got[n] for n in group}) == 1, [(n, got[n]) for n in group]
     assert len({got[g[0]] for g in (same, other, umlaut, van, org)}) == 5
