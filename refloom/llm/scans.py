@@ -2,7 +2,9 @@
 
 Skip-gram vectors are learned over all entries; a word is linked to the more frequent words that plausible glyph edits
 make of it (equality of glyph skeletons, so no pairs of words are tried out), and of several the one that fits best into
-its context is taken.  Lines that belong to the page are removed and the rest is reflowed.
+its context is taken.  It is a misread word if the linked one fits its context well enough, is much more frequent, and no
+entry's fields have the word as it stands; what the entry's own fields show in the linked form is misread however well it
+fits.  Lines that belong to the page are removed and the rest is reflowed.
 
 Defined results: null gives null, '' and blank give ''; an entry without line ends has no page to come from and stays as
 it is but for misread words; an entry may be nothing but furniture and is then ''.
@@ -29,10 +31,11 @@ from refloom.session import cut
 GLYPHS, SKELETON = "@!051|l+$9£8c", "aiosiiitsgfbe"
 # The same for groups of characters.
 GROUPS = (("vv", "w"), ("rn", "m"), ("h", "ii"), ("tt", "ii"), ("u", "ii"), ("d", "ei"))
-#: How much more frequent the word must be that a rarer one is linked to.
-RATIO = 2
+#: How much more frequent, in entries and fields, the word must be that a rarer one is linked to; and how much more in
+#: entries alone, and how near to its context, where the entry's own fields don't show it.
+RATIO, RARE, FIT = 2, 8, 0.1
 #: Size of the vectors, words that get one (the count is a share of all words, at least two).
-DIMENSIONS, MIN_SHARE = 24, 2e-6
+DIMENSIONS, MIN_SHARE = 24, 1e-5
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,40}>")
 _WORD = re.compile(r"[^\W\d_@!+$£|](?:[^\W_]|[@!+$£|])+|[@!+$£|0-9](?:[^\W_]|[@!+$£|])*[^\W\d_@!+$£|](?:[^\W_]|[@!+$£|])*")
@@ -190,11 +193,15 @@ def repair(df: DataFrame, key: str, citation: str, fields: list[str], journal: s
     scanned = rows.filter(paged).withColumn("r", _repair("citation", "fields", "journal")).select("key", "r.text", F.col("r.known").alias("fields"), *[f"r.{n}" for n in FOUND])
     both = cut(plain.unionByName(scanned).withColumn("rid", F.xxhash64("key", "text", "fields")).withColumn("words", _tokens(F.col("text"))))
 
-    counts = cut(both.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).withColumn("skeleton", skeleton_column(F.col("w"))))
+    # How often each word stands in entries (n) and in fields (f).
+    each = lambda words, own: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(own).alias("own")))
+    stands = both.select(F.explode(F.concat(each(F.col("words"), False), each(_tokens(F.col("fields")), True))).alias("x")).select("x.w", "x.own")
+    counts = cut(stands.groupBy("w").agg(F.count_if(~F.col("own")).alias("n"), F.count_if("own").alias("f")).withColumn("skeleton", skeleton_column(F.col("w"))))
     # Links: words of one skeleton, the rarer to the more frequent.
     shared = counts.join(counts.groupBy("skeleton").agg(F.count("*").alias("k")).filter("k > 1").select("skeleton"), "skeleton")
-    links = shared.select("skeleton", "w", "n").join(shared.select("skeleton", F.col("w").alias("to"), F.col("n").alias("m")), "skeleton")
-    links = links.filter((F.col("w") != F.col("to")) & (F.col("m") >= RATIO * F.col("n")) & F.col("to").rlike(r"^[\p{L}\p{M}-]+$")).select("w", "to", "m")
+    links = shared.filter("n > 0").select("skeleton", "w", "n", "f").join(shared.select("skeleton", F.col("w").alias("to"), F.col("n").alias("m"), F.col("f").alias("g")), "skeleton")
+    links = links.filter((F.col("w") != F.col("to")) & (F.col("m") + F.col("g") >= RATIO * F.col("n")) & F.col("to").rlike(r"^[\p{L}\p{M}-]+$"))
+    links = links.select("w", "to", "m", ((F.col("f") == 0) & (F.col("m") >= RARE * F.col("n"))).alias("rare"))
 
     # Words that the row's own fields show as they stand are no errors of the scanner.
     places = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
@@ -205,7 +212,7 @@ def repair(df: DataFrame, key: str, citation: str, fields: list[str], journal: s
     strange = strange.select("rid", "fields", "p.w", F.filter(around, lambda w: w.isNotNull()).alias("context"))
     linked = cut(strange.join(links, "w"))
 
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total = counts.agg(F.sum("n")).first()[0] or 0  # one row
     scored = linked.withColumn("fit", F.lit(0.0))
     if total and not linked.isEmpty():
         least = max(2, int(MIN_SHARE * total))
@@ -218,8 +225,9 @@ def repair(df: DataFrame, key: str, citation: str, fields: list[str], journal: s
         scored = scored.withColumn("fit", F.coalesce(dot("v", "c") / F.greatest(F.sqrt(dot("v", "v") * dot("c", "c")), F.lit(1e-9)), F.lit(0.0)))
     # Corrected in context: the linked word that fits best, the more frequent one where they fit alike; words of the row's fields first.
     shown = F.array_contains(_tokens(F.col("fields")), F.col("to"))
-    best = scored.withColumn("shown", shown).groupBy("rid", "w").agg(F.max_by(F.struct("to", "shown"), F.struct("shown", F.round("fit", 3), "m", "to")).alias("b")).select("rid", "w", "b.to", "b.shown")
-    fixes = best.groupBy("rid").agg(F.collect_list(F.struct("w", "to")).alias("fixes"), F.max("shown").alias("misread"))
+    sure = shown | (F.col("rare") & (F.col("fit") >= FIT))
+    best = scored.withColumn("shown", shown).withColumn("sure", sure).groupBy("rid", "w").agg(F.max_by(F.struct("to", "sure"), F.struct("shown", F.round("fit", 3), "m", "to")).alias("b")).select("rid", "w", "b.to", "b.sure")
+    fixes = best.groupBy("rid").agg(F.collect_list(F.struct("w", "to")).alias("fixes"), F.max("sure").alias("misread"))
     out = both.join(fixes, "rid", "left")
     text = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<w:string,to:string>>")), F.col("text"), lambda t, x: F.regexp_replace(t, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}@!+$£|-])\Q"), x["w"], F.lit(r"\E(?![\p{L}\p{N}@!+$£|-])")), x["to"]))
     return out.select(F.col("key").alias(key), text.alias("text"), *FOUND, F.coalesce("misread", F.lit(False)).alias("misread"))

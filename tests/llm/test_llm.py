@@ -184,6 +184,18 @@ def test_misread(spark):
     assert not got[101]["misread"] and not got[0]["misread"] and 102 not in got
 
 
+def test_misread_without_fields(spark):
+    draw = random.Random(9)
+    rest = ["lakes", "towns", "coasts", "peaks"]
+    clean = [(i, f"Doe, A. On layered beds near {draw.choice(rest)}. Ice {i}", "Doe, A.", None) for i in range(120)]
+    bad = [(500, "Doe, A. On 1ayered beds near lakes. Ice 3", "Doe, A.", None), (501, "Doe, A. On layered bods near lakes. Ice 3", "Doe, A.", None), (502, "Doe, A. On layered bcds near lakes. Ice 3", "Doe, A.", None)]
+    typed = [(503, "Roe, B. On bcds", "On bcds", None)]
+    df = spark.createDataFrame(clean + bad + typed, "id int, c string, a string, j string")
+    got = {r["id"]: r["misread"] for r in scans.repair(df, "id", "c", ["a", "j"], "j").collect()}
+    # What fits its context is misread though no field shows it; another word, or one that some field has as it stands, isn't.
+    assert got[500] and not got[501] and not got[502] and not got[503] and not any(got[i] for i in range(120))
+
+
 # Packing
 
 
