@@ -142,3 +142,23 @@ def metadata_issues(year: Column, journal: Column, volume: Column, author_words:
 def is_mismatch(issues: Column) -> Column:
     """Two issues, or one that isn't the year."""
     return (F.size(issues) >= 2) | F.exists(issues, lambda x: x != "year")
+
+
+def parse_flaws(title: Column, journal: Column, year: Column, parsed_year: Column, authors: Column) -> Column:
+    """What speaks for an error in parsing."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    flaw = lambda c, name: F.when(c, F.lit(name))
+    own = F.lower(t) == F.lower(F.trim(F.coalesce(journal, F.lit(""))))
+    return F.array_compact(F.array(
+        flaw(t == "", "no_title"), flaw(t.rlike(r"^[0-9]{4}[a-z]?$"), "title_is_year"), flaw((t != "") & own, "title_is_journal"), flaw(F.length(t).between(1, 9), "short_title"),
+        flaw(parsed_year.isNull() & (F.trim(F.coalesce(year, F.lit(""))) != ""), "bad_year"), flaw(F.coalesce(authors, F.lit("")).rlike("[0-9@]"), "bad_author"), flaw(F.coalesce(title, F.lit("")).rlike("[{}<>]"), "noise"),
+    ))
+
+
+#: Codes of the labels that reasons stand for.
+REASON_LABELS = {"no_title": "NR", "datacite_preprint": "PP", "parse_junk": "NR", "non_article": "RP", "foreign_language": "JA", "short_title": "JA", "fab_candidate": "JA"}
+
+
+def label_of(reason: Column) -> Column:
+    """C17: the label of a reason."""
+    return F.create_map(*[F.lit(x) for kv in REASON_LABELS.items() for x in kv])[reason]

@@ -98,3 +98,45 @@ def threshold_sweep(scores: DataFrame, score: str, truth: str, thresholds: list[
 def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
     """The k most frequent values; equally frequent ones by value."""
     return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
+def candidate_rate(refs: DataFrame, group: list) -> DataFrame:
+    """Of academic references those that nothing explains."""
+    bad = F.count_if(~F.col("found") & (F.col("reason") == "fab_candidate"))
+    return refs.filter(~F.col("nonacademic")).groupBy(*group).agg(F.count("*").alias("total"), bad.alias("candidates"), rate(bad, F.count("*")).alias("rate"))
+
+
+def lag_controlled(refs: DataFrame, lag: int = 2) -> DataFrame:
+    """By year, references to works at least ``lag`` years older than the paper, and to younger ones."""
+    s = refs.filter(~F.col("nonacademic") & F.col("y").isNotNull()).withColumn("year", citing_year(F.col("month")))
+    old, bad = F.col("y") <= F.col("year") - lag, ~F.col("found")
+    # A missing year is neither.
+    young = F.col("y") > F.col("year") - lag
+    return s.groupBy("year").agg(
+        F.count_if(old).alias("lagged"), F.count_if(old & bad).alias("lagged_bad"), F.count_if(young).alias("recent"), F.count_if(young & bad).alias("recent_bad"),
+        F.count_if(F.col("has_title") & old & bad & (F.col("reason") == "fab_candidate")).alias("candidates"), F.count_if(F.col("has_doi") & old).alias("with_doi"),
+    )
+
+
+def pre_post(refs: DataFrame, field: str, cut: int, least: int = 10_000) -> DataFrame:
+    """A10: of each field the rate before and since a year; fields with ``least`` references or fewer on a side are left out."""
+    y = citing_year(F.col("month"))
+    pre, post, bad = y < cut, y >= cut, ~F.col("found")
+    g = refs.filter(~F.col("nonacademic")).groupBy(field).agg(F.count_if(pre).alias("pre_total"), F.count_if(post).alias("post_total"), rate(F.count_if(pre & bad), F.count_if(pre)).alias("pre"), rate(F.count_if(post & bad), F.count_if(post)).alias("post"))
+    return g.filter((F.col("pre_total") > least) & (F.col("post_total") > least))
+
+
+def shifted_shares(rows: DataFrame, period: str, kind: str) -> DataFrame:
+    """Counts of each kind and how its share differs between the last period and the first."""
+    n = rows.groupBy(period, kind).agg(F.count("*").alias("n"))
+    # One row for each period and kind by now.
+    s = n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(period)))
+    ends = F.broadcast(n.agg(F.min(period).alias("__a"), F.max(period).alias("__b")))  # one row
+    at = lambda e: F.coalesce(F.sum(F.when(F.col(period) == F.col(e), F.col("share"))), F.lit(0.0))
+    return s.join(ends).groupBy(kind).agg(F.sum("n").alias("n"), F.round(at("__b") - at("__a"), 6).alias("shift"))
+
+
+def months(bounds: DataFrame, first: str, last: str) -> DataFrame:
+    """(month) as YYMM from the first to the last."""
+    day = lambda c: F.to_date(F.concat(F.lit("20"), F.col(c), F.lit("01")), "yyyyMMdd")
+    return bounds.select(F.explode(F.sequence(day(first), day(last), F.expr("interval 1 month"))).alias("d")).select(F.date_format("d", "yyMM").alias("month"))

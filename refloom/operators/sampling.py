@@ -30,6 +30,20 @@ def quota_sample(df: DataFrame, stratum: str, key: str, quotas: dict, seed: int
 
 
 def shards(df: DataFrame, column: str, n: int) -> DataFrame:
-    """P5: distinct values in n contiguous runs of about equal length; value and shard."""
+    """P5: distinct values in n contiguous runs of about equal length; value and shard.
+
+    For values of the calendar (months), of which there are few: they are ranked in one task.
+    """
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
     return values.withColumn("shard", F.ntile(n).over(Window.orderBy(column)))
+
+
+def seeded_take(df: DataFrame, key: str, k: int, seed: int | str = 42) -> DataFrame:
+    """The first k rows in seeded order, by a top-k that never sorts all rows in one place."""
+    return df.orderBy(order_key(F.col(key), seed), *[F.col(c) for c in df.columns]).limit(k)
+
+
+def first_file_owns(df: DataFrame, file: str, period: str) -> DataFrame:
+    """Of a period that stands in several files the rows of the first file by name."""
+    owners = df.groupBy(period).agg(F.min(file).alias(file))
+    return df.join(owners, [period, file], "left_semi")

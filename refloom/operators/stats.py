@@ -54,15 +54,17 @@ def rule_of_three(bad: Column, n: Column) -> Column:
     return F.when((bad == 0) & (n > 0), F.round(F.lit(300.0) / n, 6))
 
 
+#: The distribution function of a Poisson variable of mean one, from 0 to 8.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+
+
 def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:
     """A Poisson(1) draw that depends on key, replicate and seed alone, by its distribution function."""
-    u = F.pmod(F.xxhash64(key, replicate, F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    out, total = F.when(u < math.exp(-1), 0), math.exp(-1)
-    p = math.exp(-1)
-    for k in range(1, 9):
-        p /= k
-        total += p
-        out = out.when(u < total, k)
+    digest = F.md5(F.concat_ws(":", key.cast("string"), replicate.cast("string"), F.lit(str(seed))).cast("binary"))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    out = F.when(u < POISSON[0], 0)
+    for k, c in enumerate(POISSON[1:], 1):
+        out = out.when(u < c, k)
     return out.otherwise(9)
 
 
@@ -113,3 +115,43 @@ def onset_sweep(rows: DataFrame, x: str, bad: str, total: str, onsets: list[floa
     late = F.col(x) >= F.col("onset")
     sums = r.groupBy("onset").agg(*[F.sum(F.when(c, F.col(v))).alias(f"{v_}_{k}") for k, c in (("pre", ~late), ("post", late)) for v, v_ in ((bad, "b"), (total, "t"))])
     return sums.select("onset", F.round(F.col("b_pre") / F.col("t_pre"), 6).alias("pre"), F.round(F.col("b_post") / F.col("t_post"), 6).alias("post"), F.round(F.col("b_post") / F.col("t_post") - F.col("b_pre") / F.col("t_pre"), 6).alias("difference"))
+
+
+def design_effect(boot: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """M2: the variance over clusters by that of as many independent references, and the median of all groups."""
+    p = F.col("bad") / F.col("total")
+    each = boot.select(key, "se").join(totals.select(key, "bad", "total"), key).withColumn("deff", F.col("se") * F.col("se") / F.nullif(p * (1 - p) / F.col("total"), F.lit(0.0)))
+    return each.filter(F.col("deff").isNotNull()).agg(F.count("*").alias("groups"), F.round(F.percentile("deff", F.lit(0.5)), 3).alias("median_deff"))
+
+
+RATES = (0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.2, 2.0)
+
+
+def excess_forms(series: DataFrame, x: str, y: str, w: str, cut: float) -> DataFrame:
+    """M7: the weighted mean excess after ``cut`` over three baselines fitted before it (flat, linear, exponential to a floor
+    with the rate of the least weighted error), and whether all three agree in sign."""
+    s = series.select((F.col(x) - cut).alias("x"), F.col(y).alias("y"), F.col(w).cast("double").alias("w"))
+    origin = s.agg(F.min("x").alias("x0"))
+    s = s.join(F.broadcast(origin))  # one row
+    shapes = [F.struct(F.lit("flat").alias("form"), F.lit(0.0).alias("k"), F.lit(0.0).alias("z")), F.struct(F.lit("linear").alias("form"), F.lit(0.0).alias("k"), F.col("x").alias("z"))]
+    shapes += [F.struct(F.lit("exp").alias("form"), F.lit(k).alias("k"), F.exp(-k * (F.col("x") - F.col("x0"))).alias("z")) for k in RATES]
+    s = s.select("x", "y", "w", F.explode(F.array(*shapes)).alias("b")).select("x", "y", "w", "b.*")
+    v = F.when(F.col("form") == "flat", F.col("w")).otherwise(F.col("w") * F.col("w"))
+    before = F.col("x") < 0
+    m = s.filter(before).groupBy("form", "k").agg(F.sum(v).alias("s0"), F.sum(v * F.col("z")).alias("sz"), F.sum(v * F.col("y")).alias("sy"), F.sum(v * F.col("z") * F.col("z")).alias("szz"), F.sum(v * F.col("z") * F.col("y")).alias("szy"))
+    det = F.col("s0") * F.col("szz") - F.col("sz") * F.col("sz")
+    slope = F.when(F.col("form") == "flat", 0.0).otherwise((F.col("s0") * F.col("szy") - F.col("sz") * F.col("sy")) / F.nullif(det, F.lit(0.0)))
+    fit = m.select("form", "k", slope.alias("b"), ((F.col("sy") - slope * F.col("sz")) / F.col("s0")).alias("a"))
+    error = F.col("y") - F.col("a") - F.col("b") * F.col("z")
+    # Few rows: one for each form and rate.
+    scored = s.join(F.broadcast(fit), ["form", "k"]).groupBy("form", "k").agg(F.sum(F.when(before, F.col("w") * error * error)).alias("sse"), (F.sum(F.when(~before, F.col("w") * error)) / F.sum(F.when(~before, F.col("w")))).alias("over"))
+    best = scored.groupBy("form").agg(F.min_by(F.struct("k", "over"), F.struct("sse", "k")).alias("b"))
+    pick = lambda f, c: F.max(F.when(F.col("form") == f, F.col(f"b.{c}")))
+    out = best.agg(pick("flat", "over").alias("f"), pick("linear", "over").alias("l"), pick("exp", "over").alias("e"), pick("exp", "k").alias("rate"))
+    same = (F.signum("f") == F.signum("l")) & (F.signum("l") == F.signum("e"))
+    return out.select(F.round("f", 6).alias("over_flat"), F.round("l", 6).alias("over_linear"), F.round("e", 6).alias("over_exp"), "rate", F.when(same, "same sign").otherwise("sign flips").alias("verdict"))
+
+
+def extrapolated(k: Column, n: Column, population: Column) -> Column:
+    """What a sample's count comes to in the population."""
+    return F.round(population * k / F.nullif(n, F.lit(0))).cast("bigint")

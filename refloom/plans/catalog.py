@@ -40,6 +40,8 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return explode_packed(rows, "authors", "author", "pos", at_least=2).select("cited_id", "pos", "author")
 
 
+METHODS = ("doi", "biblio_meta", "oa_meta", "title_exact", "title_repaired", "arxiv_title")
+
 # Keys and scalars.
 
 
@@ -189,17 +191,27 @@ def classified_references(spark, sf):
 
 
 @query(
-    f"""WITH {RESOLVED}, t AS (SELECT r.cited_id, {base.content_sql('r.title')} AS ct, list_distinct({base.content_sql('r.title')}) AS a, list_distinct({base.content_sql('o.title_norm')}) AS b FROM refs r JOIN resolved v USING (cited_id) JOIN (SELECT oa_id, min(title_norm) AS title_norm FROM oa GROUP BY 1) o ON o.oa_id = v.matched)
+    f"""WITH {RESOLVED}, t AS (SELECT r.cited_id, {base.content_sql('r.title')} AS ct, list_distinct({base.content_sql('r.title')}) AS a, list_distinct({base.content_sql('o.title_norm')}) AS b FROM refs r JOIN jo_one v USING (cited_id) JOIN (SELECT oa_id, min(title_norm) AS title_norm FROM oa GROUP BY 1) o ON o.oa_id = v.matched)
     SELECT cited_id FROM t WHERE len(ct) >= 4 AND len(b) > 0 AND len(list_intersect(a,b)) / len(a) < 0.3 AND len(list_intersect(a,b)) / len(b) < 0.3"""
 )
 def title_hijacks(spark, sf):
-    """C4: references whose title contradicts the work they resolved to."""
-    works = read(spark, sf, "oa").groupBy("oa_id").agg(F.min("title_norm").alias("title_norm"))
-    hits = base.resolved(spark, sf).join(works, F.col("matched") == F.col("oa_id")).join(base.references(spark, sf).select("cited_id", "title"), "cited_id")
+    """C4: references whose title contradicts the work with their journal, year and volume (no title guard)."""
+    oa = read(spark, sf, "oa")
+    works = oa.groupBy("oa_id").agg(F.min("title_norm").alias("title_norm"))
+    refs = base.keyed(spark, sf)
+    hits = match.by_metadata(refs, oa, least=0.0).join(works, F.col("matched") == F.col("oa_id")).join(refs.select("cited_id", "title"), "cited_id")
     return hits.filter(rules.title_hijack(F.col("title"), F.col("title_norm"))).select("cited_id")
 
 
-@query()
+_TOKENS = "list_filter(regexp_split_to_array(lower({}),'[^a-z]+'), lambda w: length(w) >= 3)"
+AUTHOR_HIJACKS = rf"""{base.REFS}, wk AS (SELECT title_norm, list(DISTINCT author1) AS au FROM oa WHERE title_norm IS NOT NULL AND author1 IS NOT NULL GROUP BY 1),
+ah0 AS (SELECT r.cited_id, r.month, citation, substring(citation,1,130) AS head, {_TOKENS.format("coalesce(citation,'')")} AS mine, list_filter(list_transform(wk.au, lambda a: {_TOKENS.format('a').replace('lambda w: length(w)', 'lambda v: length(v)')}), lambda x: len(x) > 0) AS theirs, {_TOKENS.format('wk.title_norm')} AS tt FROM refs r JOIN wk ON r.title_key = wk.title_norm),
+ah AS (SELECT cited_id, month, CASE WHEN length(citation) < 40 OR len(theirs) = 0 THEN NULL WHEN len(list_filter(theirs, lambda a: list_has_any(a, mine))) > 0 THEN false
+  WHEN regexp_matches(head,'^\s*(?:[A-Z]\.[-\s]*){{1,4}}[A-Z]?[a-z]') OR regexp_matches(head,'^\s*[A-Z][a-z]+\s+[A-Z]\s*,') OR regexp_matches(head,'^\s*[A-Z][a-z]+\s+[A-Z]\.?[,\s]+(?:and\s+)?[A-Z][a-z]+\s+[A-Z]\b[,.\s]')
+    OR len(list_filter(regexp_split_to_array(head,'[^A-Za-z]+'), lambda w: length(w) >= 4 AND regexp_matches(w,'^[A-Z]') AND NOT list_contains(tt, lower(w)))) < 2 OR len(list_filter(theirs, lambda a: list_max(list_transform(a, lambda u: length(u))) >= 5)) = 0 THEN NULL ELSE true END AS author_hijack FROM ah0)"""
+
+
+@query(f"WITH {AUTHOR_HIJACKS} SELECT cited_id, author_hijack FROM ah")
 def author_hijacks(spark, sf):
     """By reference whether no author of the works with its title stands in it; null where that can't be said."""
     works = read(spark, sf, "oa").filter(F.col("title_norm").isNotNull() & F.col("author1").isNotNull()).groupBy("title_norm").agg(F.collect_set("author1").alias("known_authors"))
@@ -301,11 +313,11 @@ def top_journals(spark, sf):
     return rates.top_k(read(spark, sf, "cited_sent"), "journal", 20)
 
 
-@query(f"WITH {FACTS} SELECT 2000 + substring(month,1,2)::INT AS year, coalesce(sum(CASE WHEN method='biblio_meta' THEN 1 END),0) AS biblio_meta, coalesce(sum(CASE WHEN method='oa_meta' THEN 1 END),0) AS oa_meta, coalesce(sum(CASE WHEN method='title_exact' THEN 1 END),0) AS title_exact FROM facts GROUP BY 1")
+@query(f"WITH {FACTS} SELECT 2000 + substring(month,1,2)::INT AS year, {', '.join(f"count_if(method = '{m}') AS {m}" for m in METHODS)} FROM facts GROUP BY 1")
 def method_mix(spark, sf):
     """A14."""
     f = base.facts(spark, sf).withColumn("year", rates.citing_year(F.col("month")))
-    return f.groupBy("year").agg(*[F.count_if(F.col("method") == m).alias(m) for m in ("biblio_meta", "oa_meta", "title_exact")])
+    return f.groupBy("year").agg(*[F.count_if(F.col("method") == m).alias(m) for m in METHODS])
 
 
 # Statistics.
@@ -345,7 +357,14 @@ def between_month_spread(spark, sf):
     return stats.between_spread(c, "y", "n")
 
 
-@query()
+BOOTSTRAP = f"""{FACTS}, pp AS (SELECT 2000 + substring(month,1,2)::INT AS year, paper, count_if(NOT found) AS bad, count(*) AS total FROM facts GROUP BY month, paper),
+u AS (SELECT year, bad, total, b.r AS replicate, ('0x' || substring(md5(paper || ':' || b.r || ':0'),1,8))::BIGINT / 4294967296.0 AS u FROM pp, (SELECT unnest(range(1,201)) AS r) b),
+bw AS (SELECT *, CASE WHEN u < {stats.POISSON[0]!r} THEN 0 {' '.join(f'WHEN u < {c!r} THEN {k}' for k, c in enumerate(stats.POISSON) if k)} ELSE 9 END AS w FROM u),
+bs AS (SELECT year, replicate, sum(w*bad)/sum(w*total) AS rate FROM bw GROUP BY 1,2 HAVING sum(w*total) > 0),
+boot AS (SELECT year, count(*) AS replicates, round(stddev_samp(rate),6) AS se, round(quantile_cont(rate,0.025),6) AS low, round(quantile_cont(rate,0.975),6) AS high FROM bs GROUP BY 1)"""
+
+
+@query(f"WITH {BOOTSTRAP} SELECT * FROM boot")
 def bootstrap_by_year(spark, sf):
     """M1."""
     p = rates.per_paper(base.facts(spark, sf)).withColumn("year", rates.citing_year(F.col("month")))

@@ -5,30 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.functions import rules
+from refloom.functions import rules, text
 from refloom.functions.keys import ACCENTED, PLAIN, TITLE_STOP
 from refloom.operators import match
-from refloom.session import read
+from refloom.session import made_once, read
 
 
 def references(spark: SparkSession, sf: str) -> DataFrame:
+    """References with their keys and their text."""
     return match.reference_keys(read(spark, sf, "cited_sent"))
 
 
+def keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """References with their keys and what rules say of their text, without the text: one pass over it, written once."""
+
+    def make() -> DataFrame:
+        c = F.col
+        rows = match.with_reference_keys(read(spark, sf, "cited_sent"))
+        rule = rules.nonacademic_rule(c("citation"), c("doi_key"), c("title"), c("journal"), c("volume"))
+        reason = rules.not_found_reason(c("citation"), c("title"), c("doi_key"))
+        has_title = F.coalesce(F.trim("title"), F.lit("")) != ""
+        rows = rows.select("cited_id", "paper", "i", "month", "title", "journal", "volume", "pages", "y", "title_key", "journal_key", "vol", "page", "doi_key", "s", rule.alias("nonacademic_rule"), reason.alias("reason0"), has_title.alias("has_title"), "loaded_at")
+        return match.newest(rows, "cited_id", "loaded_at").drop("loaded_at")
+
+    return made_once(spark, sf, "keyed", ("cited_sent",), make)
+
+
 def resolved(spark: SparkSession, sf: str) -> DataFrame:
-    """(cited_id, method, matched): biblio metadata, then works metadata, then title."""
-    refs, oa = references(spark, sf), read(spark, sf, "oa")
-    return match.cascade(refs, [("biblio_meta", match.by_biblio(refs, read(spark, sf, "biblio"))), ("oa_meta", match.by_metadata(refs, oa)), ("title_exact", match.by_title(refs, oa))])
+    """(cited_id, method, matched): DOI, then biblio metadata, works metadata, title, repaired title, arXiv's titles."""
+    refs, oa = keyed(spark, sf), read(spark, sf, "oa")
+    arxiv = read(spark, sf, "arxiv")
+    phases = [("doi", match.by_doi(refs, oa)), ("biblio_meta", match.by_biblio(refs, read(spark, sf, "biblio"))), ("oa_meta", match.by_metadata(refs, oa)), ("title_exact", match.by_title(refs, oa)), ("title_repaired", match.by_repaired_title(refs, oa)), ("arxiv_title", match.by_arxiv_title(refs, arxiv))]
+    return match.cascade(refs, phases)
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    """One row for each reference."""
-    refs = match.resolve_journals(references(spark, sf), "journal", read(spark, sf, "alias"), read(spark, sf, "acronym"))
-    rows = refs.join(resolved(spark, sf), "cited_id", "left")
-    rule = rules.nonacademic_rule(F.col("citation"), F.col("doi_key"), F.col("title"), F.col("journal"), F.col("volume"))
-    reason = rules.not_found_reason(F.col("citation"), F.col("title"), F.col("doi_key"))
-    rows = rows.withColumns({"found": F.col("method").isNotNull(), "nonacademic_rule": rule, "nonacademic": rule.isNotNull(), "has_doi": F.col("doi_key").isNotNull(), "has_title": F.coalesce(F.trim("title"), F.lit("")) != ""})
-    return rows.withColumn("reason", F.when(~F.col("found") & ~F.col("nonacademic"), reason))
+    """One row for each reference; written once by month, so that what is counted from it reads its columns alone."""
+
+    def make() -> DataFrame:
+        refs = match.resolve_journals(keyed(spark, sf), "journal", read(spark, sf, "alias"), read(spark, sf, "acronym"))
+        rows = refs.join(resolved(spark, sf), "cited_id", "left")
+        rows = rows.withColumns({"found": F.col("method").isNotNull(), "nonacademic": F.col("nonacademic_rule").isNotNull(), "has_doi": F.col("doi_key").isNotNull()})
+        return rows.withColumn("reason", F.when(~F.col("found") & ~F.col("nonacademic"), F.col("reason0"))).drop("reason0", "s")
+
+    return made_once(spark, sf, "facts", ("cited_sent", "oa", "biblio", "arxiv", "alias", "acronym"), make)
 
 
 # The same for DuckDB.  Patterns are the library's own text, so that both engines run the same rules.
@@ -66,6 +86,24 @@ def content_sql(c: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower(regexp_replace(coalesce({c},''),'(\w)-\s*(\w)','\1\2','g')),'[^a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ({stop}))"
 
 
+def ligatures_sql(c: str) -> str:
+    for a, b in text.LIGATURES.items():
+        c = f"replace({c},'{a}','{b}')"
+    return c
+
+
+def no_author_sql(c: str) -> str:
+    for p in text.LEADING_AUTHOR:
+        c = f"regexp_replace({c},{_p(p)},'')"
+    return c
+
+
+def greek_sql(c: str) -> str:
+    for word, letter in text.GREEK.items():
+        c = rf"regexp_replace({c},'(?i)\b{word}\b','{letter}','g')"
+    return c
+
+
 REFS = f"""refs AS (
   SELECT cited_id, paper, i, month, title, authors, year, citation, pages, journal, volume,
     TRY_CAST(nullif(regexp_extract(year,'(1[89][0-9]{{2}}|20[0-9]{{2}})',1),'') AS INT) AS y,
@@ -80,12 +118,19 @@ RESOLVED = f"""{REFS}, jb AS (
   ON r.journal_key = b.journal_norm AND r.y = b.year AND r.vol = b.vol),
 jb_hit AS (SELECT cited_id, min(matched) AS matched FROM jb WHERE page = p1 OR page = p2 GROUP BY 1
   UNION ALL SELECT cited_id, min(matched) FROM jb WHERE page IS NULL AND s = sur GROUP BY 1 HAVING count(DISTINCT matched) = 1),
-jo AS (SELECT r.cited_id, r.page, w.oa_id, w.p FROM refs r JOIN (SELECT DISTINCT oa_id, journal_norm, year, {volume_key_sql('volume')} AS vol, {page_key_sql('first_page')} AS p FROM oa) w
+jo AS (SELECT r.cited_id, r.page, w.oa_id, w.p, {surname_sql('r.authors')} AS s, w.sur FROM refs r JOIN (SELECT DISTINCT oa_id, journal_norm, year, {volume_key_sql('volume')} AS vol, {page_key_sql('first_page')} AS p, {surname_sql('author1')} AS sur FROM oa) w
   ON r.journal_key = w.journal_norm AND r.y = w.year AND r.vol = w.vol),
-jo_hit AS (SELECT * FROM (SELECT cited_id, CASE WHEN count(DISTINCT CASE WHEN p = page THEN oa_id END) = 1 THEN min(CASE WHEN p = page THEN oa_id END) WHEN count(DISTINCT oa_id) = 1 THEN min(oa_id) END AS matched FROM jo GROUP BY 1) WHERE matched IS NOT NULL),
+jo_one AS (SELECT cited_id, CASE WHEN count(DISTINCT CASE WHEN p = page THEN oa_id END) = 1 THEN min(CASE WHEN p = page THEN oa_id END) WHEN count(DISTINCT CASE WHEN s = sur THEN oa_id END) = 1 THEN min(CASE WHEN s = sur THEN oa_id END) WHEN count(DISTINCT oa_id) = 1 THEN min(oa_id) END AS matched FROM jo GROUP BY 1),
+jo_hit AS (SELECT cited_id, matched FROM (SELECT j.cited_id, j.matched, list_distinct({content_sql('r.title')}) AS a, list_distinct({content_sql('t.title_norm')}) AS b FROM jo_one j JOIN refs r USING (cited_id) JOIN (SELECT oa_id, min(title_norm) AS title_norm FROM oa GROUP BY 1) t ON t.oa_id = j.matched)
+  WHERE len(a) = 0 OR len(b) = 0 OR len(list_intersect(a,b)) >= 0.4 * len(list_distinct(list_concat(a,b)))),
 jt AS (SELECT r.cited_id, w.oa_id, row_number() OVER (PARTITION BY r.cited_id ORDER BY (w.doi IS NULL)::INT, abs(coalesce(w.year,0) - coalesce(r.y, w.year, 0)), w.oa_id) AS rn
   FROM refs r JOIN (SELECT DISTINCT oa_id, title_norm, year, doi FROM oa) w ON r.title_key = w.title_norm),
-hits AS (SELECT cited_id, 0 AS k, 'biblio_meta' AS method, matched FROM jb_hit UNION ALL SELECT cited_id, 1, 'oa_meta', matched FROM jo_hit UNION ALL SELECT cited_id, 2, 'title_exact', oa_id FROM jt WHERE rn = 1),
+jv AS (SELECT cited_id, y, k, {ascii_key_sql('v')} AS key FROM (SELECT cited_id, y, unnest([1,2,3]) AS k, unnest([{ligatures_sql('title')}, {no_author_sql('title')}, {greek_sql('title')}]) AS v FROM refs WHERE title IS NOT NULL)),
+jr AS (SELECT v.cited_id, w.oa_id, row_number() OVER (PARTITION BY v.cited_id ORDER BY v.k, (w.doi IS NULL)::INT, abs(coalesce(w.year,0) - coalesce(v.y, w.year, 0)), w.oa_id) AS rn
+  FROM jv v JOIN (SELECT DISTINCT oa_id, title_norm, year, doi FROM oa) w ON v.key = w.title_norm WHERE len(string_split(v.key,' ')) >= 4),
+ja AS (SELECT r.cited_id, min(a.arxiv_id) AS matched FROM refs r JOIN arxiv a ON trim(regexp_replace(lower(r.title),'[^a-z0-9]+',' ','g')) = trim(regexp_replace(lower(a.title),'[^a-z0-9]+',' ','g')) WHERE len(string_split(trim(regexp_replace(lower(r.title),'[^a-z0-9]+',' ','g')),' ')) >= 4 GROUP BY 1),
+hits AS (SELECT cited_id, 0 AS k, 'biblio_meta' AS method, matched FROM jb_hit UNION ALL SELECT cited_id, 1, 'oa_meta', matched FROM jo_hit UNION ALL SELECT cited_id, 2, 'title_exact', oa_id FROM jt WHERE rn = 1
+  UNION ALL SELECT cited_id, 3, 'title_repaired', oa_id FROM jr WHERE rn = 1 UNION ALL SELECT cited_id, 4, 'arxiv_title', matched FROM ja),
 resolved AS (SELECT cited_id, method, matched FROM (SELECT *, row_number() OVER (PARTITION BY cited_id ORDER BY k, method, matched) AS rn FROM hits) WHERE rn = 1)"""
 
 _RAW = "coalesce(citation,'')"

@@ -16,13 +16,15 @@ def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints, set on the context.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a
-    temporary folder is used.
+    A cluster names a shared folder in ``spark.checkpoint.dir``; only on one machine, where that is unset, a temporary
+    folder is used.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = named or os.path.join(tempfile.gettempdir(), "refloom-checkpoints")
     sc.setCheckpointDir(path)
     return path
@@ -32,3 +34,19 @@ def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage written to the checkpoint folder; survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_MADE: dict[tuple, DataFrame] = {}
+
+
+def made_once(spark: SparkSession, directory: str, name: str, tables: tuple[str, ...], make) -> DataFrame:
+    """What ``make`` gives, written once for a session and a version of the tables it is made of."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{directory}/{t}.parquet") for t in tables]
+    versions = tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
+    key = (spark.sparkContext.applicationId, directory, name, versions)
+    if key not in _MADE:
+        for old in [k for k in _MADE if k[0] != key[0] or k[1:3] == key[1:3]]:
+            del _MADE[old]
+        _MADE[key] = cut(make())
+    return _MADE[key]

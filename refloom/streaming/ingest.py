@@ -7,14 +7,33 @@ from pyspark.sql import functions as F
 
 
 def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str, version: str) -> None:
-    """Takes the files that the checkpoint hasn't seen, keeps the last version of each key in a batch, adds them by month.
+    """Takes the files that the checkpoint hasn't seen and keeps the last version of each key, by month.
 
-    A batch that fails is done again as a whole and replaces what it wrote, so nothing comes twice.
+    A batch is merged with what the target holds of its months and of the months its keys stood in before, and these
+    months are replaced as a whole, so a key delivered again never stands twice and a batch that is done again changes
+    nothing.
     """
-    from refloom.operators.match import latest
+    from refloom.operators.match import newest
+    from refloom.session import cut
 
     def write(batch: DataFrame, number: int) -> None:
-        latest(batch, key, version).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "month").parquet(target)
+        if batch.isEmpty():
+            return
+        rows = newest(batch, key, version)
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            held = spark.read.schema(schema).parquet(target)
+            again = held.join(rows.select(key), key, "left_semi").select("month").distinct()
+            # Months are few, of the calendar.
+            months = rows.select("month").unionByName(again).distinct()
+            old = held.join(F.broadcast(months), "month", "left_semi")
+            rows = newest(old.select(*rows.columns).unionByName(rows), key, version)
+            emptied = months.join(rows.select("month").distinct(), "month", "left_anti")
+            rows, gone = cut(rows), [r["month"] for r in emptied.collect()]
+            for month in gone:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/month={month}")
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(target)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

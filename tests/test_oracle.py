@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from refloom.plans import catalog
+from refloom.plans import catalog, studies  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = ["keys_of_references", "resolved_references", "journal_identities", "classified_references", "month_rollup", "year_venue_sets", "reason_mix", "standardised_rate", "excess_over_baseline", "federated_records", "sample_by_month", "nearest_vectors", "arxiv_authority"]
+NAMES = sorted(catalog.ORACLE)
 
 
 def norm(v):
