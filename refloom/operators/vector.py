@@ -103,7 +103,8 @@ def with_cells(rows: DataFrame, vector: str, centres: np.ndarray, n: int = 1) ->
             out = np.empty(len(s), dtype=object)
             if there.any():
                 best = np.argsort(-(_unit(s[there].tolist()) @ held.value.T), axis=1, kind="stable")[:, :n]
-                out[there] = [x.tolist() for x in best]
+                for i, x in zip(np.flatnonzero(there), best):
+                    out[i] = x.tolist()
             yield pd.Series(out)
 
     return rows.withColumn("cells", assign(F.col(vector)))

@@ -313,7 +313,7 @@ def top_journals(spark, sf):
     return rates.top_k(read(spark, sf, "cited_sent"), "journal", 20)
 
 
-@query(f"WITH {FACTS} SELECT 2000 + substring(month,1,2)::INT AS year, {', '.join(f"count_if(method = '{m}') AS {m}" for m in METHODS)} FROM facts GROUP BY 1")
+@query(f"WITH {FACTS} SELECT 2000 + substring(month,1,2)::INT AS year, {', '.join(f"coalesce(count_if(method = '{m}'),0) AS {m}" for m in METHODS)} FROM facts GROUP BY 1")
 def method_mix(spark, sf):
     """A14."""
     f = base.facts(spark, sf).withColumn("year", rates.citing_year(F.col("month")))
