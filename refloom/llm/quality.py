@@ -2,7 +2,12 @@
 
 A text is cut into lines (very long lines into sentences).  A line counts as prose by its words that carry clauses
 (auxiliaries, pronouns, conjunctions, articles), together with the lines around it, so that wrapped sentences are told
-from lists of phrases; lines of symbols, figures or markup, and marked items that are no sentences, are not prose.
+from lists of phrases; lines of symbols, figures or markup, and marked items that are no sentences, are not prose.  Where a
+text has hardly any of these words it is in a language that the list doesn't hold: then its form decides, sentences that end
+as such, of many words in small letters (of letters without capitals and blanks, of many letters).
+
+Repetition is no prose: characters of lines and paragraphs that stood before, and what the dominant n-gram covers, where
+they make up a large part, are taken from the share of prose.
 
 Defined results: null and blank texts give null statistics and are neither prose nor not; repeated rows give repeated
 results; a text of any length is read as a whole, line by line.
@@ -40,7 +45,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _QUOTED = re.compile(r"^\s*(?:\d{1,3}[.)]\s+)?(?:>\s*)+|(?<=\s)>\s+")
 _BULLET = re.compile(r"^\s*(?:[-*•–—·▪◦‣+o]\s|->|=>|→|#+\s|\(?[a-zA-Z][.)]\s)")
 _NUMBER = re.compile(r"^\s*(?:\(?\d{1,3}[.):]\s|\[\d+\])")
-_SENTENCE_END = re.compile(r"""[.!?…]["'”’»)\]]*\s*(?:\[[^\]]*\]\s*\.?)?$""")
+_SENTENCE_END = re.compile(r"""[.!?…。！？؟।]["'”’»)\]]*\s*(?:\[[^\]]*\]\s*\.?)?$""")
 _CUT = re.compile(r"(?<=[.!?…])\s+")
 
 
@@ -60,8 +65,10 @@ def _class_of(categories: frozenset[str], more: str) -> re.Pattern:
 _ODD = _class_of(frozenset(("So", "Sk", "Sc", "Sm", "Co", "Cn")), "|\\{}<>=_~^#*@\ufffd")
 #: Longer lines are judged sentence by sentence.
 LONG = 400
-#: Clause words a word, from which words count as sentences.
-DENSITY = 0.14
+#: Clause words a word, from which words count as sentences; below which a text is in another language.
+DENSITY, FOREIGN = 0.14, 0.02
+#: Shares of repeated lines or paragraphs, and of the dominant n-gram, from which repetition counts.
+DUPLICATE, DOMINANT = 0.5, 0.4
 
 STATS = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_chars", "n_words", "n_lines")]
@@ -111,6 +118,19 @@ def _segments(text: str) -> Iterator[tuple[int, str]]:
             yield paragraph, line
 
 
+def _like_sentence(line: str, words: list[str]) -> bool:
+    """Whether a line has the form of a sentence in any language: many words, few in capitals or figures, or many letters of
+    a script without capitals and blanks."""
+    if not words:
+        return False
+    letters = sum(map(len, words))
+    if not any(c.lower() != c.upper() for c in line):
+        return letters >= 12
+    tokens = line.split()
+    capital = sum(t[:1].isupper() for t in tokens[1:])
+    return len(words) >= 8 and capital <= 0.3 * len(tokens) and 2.5 <= letters / len(words) <= 12 and sum(map(str.isdigit, line)) <= 0.05 * len(line)
+
+
 def describe(text: str | None) -> tuple | None:
     """The statistics of one text, as STATS; None for null and blank."""
     if text is None or not text.strip():
@@ -132,9 +152,10 @@ def describe(text: str | None) -> tuple | None:
         bullet = _BULLET.match(line) is not None or (len(words) < 8 and _NUMBER.match(line) is not None)
         end = _SENTENCE_END.search(line) is not None
         hard = letters < 0.6 * solid or odd > 0.12 * solid or (bullet and not end)
-        rows.append((paragraph, len(line.strip()), len(words), weight, bullet, end, hard))
+        rows.append((paragraph, len(line.strip()), len(words), weight, bullet, end, hard, line, words))
     total = prose = listed = ended = 0
-    for i, (paragraph, size, n, weight, bullet, end, hard) in enumerate(rows):
+    foreign = common < FOREIGN * len(every)
+    for i, (paragraph, size, n, weight, bullet, end, hard, line, words) in enumerate(rows):
         total += size
         ended += end
         if hard:
@@ -144,7 +165,7 @@ def describe(text: str | None) -> tuple | None:
             for j in (i - 1, i + 1):
                 if 0 <= j < len(rows) and rows[j][0] == paragraph and not rows[j][4] and not rows[j][6]:
                     n, weight = n + rows[j][2], weight + rows[j][3]
-        if n and weight >= DENSITY * n:
+        if (n and weight >= DENSITY * n) or (foreign and end and _like_sentence(line, words)):
             prose += size
         elif bullet or not end:
             listed += size
@@ -152,12 +173,16 @@ def describe(text: str | None) -> tuple | None:
     n_words, letters = len(every), sum(map(len, every))
     solid = sum(map(len, text.split()))
     gram2, gram3 = _top_gram(every, 2), _top_gram(every, 3)
+    again, blocks = _dup_share(lines), _dup_share([p.strip() for p in text.split("\n\n") if p.strip()])
     share = prose / total
-    if max(gram2, gram3) > (0.4 if n_words >= 20 else 0.7):
+    # In few words one n-gram that comes twice covers much already, so more is allowed there.
+    if max(gram2, gram3) > DOMINANT + 2.4 / max(n_words, 4):
         share = min(share, 1 - max(gram2, gram3))
+    if max(again, blocks) > DUPLICATE:
+        share = min(share, 1 - max(again, blocks))
     return (
         len(text), n_words, len(lines), letters / n_words if n_words else 0.0, 1 - letters / solid if solid else 0.0, ended / len(rows),
-        min(1.0, common / n_words) if n_words else 0.0, _dup_share(lines), _dup_share([p.strip() for p in text.split("\n\n") if p.strip()]),
+        min(1.0, common / n_words) if n_words else 0.0, again, blocks,
         gram2, gram3, listed / total, sum(map(FURNITURE.__contains__, every)) / n_words if n_words else 0.0, share, share >= 0.5,
     )
 

@@ -265,6 +265,8 @@ def test_quality(spark):
     texts = {
         prose: True, prose.lower().replace(".", ""): True, "1) " + prose: True, "> " + prose: True, "Es ist bekannt, dass die Quote von der Zeit abhängt.": True,
         "- moth migration\n- ice coring\n- peat bogs in mixed stands": False, "a,b,c\n1,2,3\n4,5,6": False, "ha ha ha ha ha ha ha ha": False, "[1] A. Doe. Ice beds. J. Ice 3, 4-9 (2019).\n[2] B. Roe. Tides. J. Sea 7, 2-3 (2001).": False,
+        "Badania pokazały wyraźnie iż próbki lodu trzymano zawsze w bardzo niskiej temperaturze. Wszyscy uczestnicy otrzymali później identyczne wyniki końcowe oraz krótkie podsumowanie całości.": True,
+        "これは氷の試料を低温で保存した研究である。結果は前の年と同じであった。": True, (prose + "\n") * 6: False, "Lodowiec, Brzeg, Morze, Wydma, Torfowisko\nRzeka, Jezioro, Staw": False,
         prose + "\n" + "| a | 1 |\n" * 60: False, None: None, " ": None,
     }
     df = spark.createDataFrame([(t,) for t in texts], "t string")
