@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Ligatures and what they stand for, for F5.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
 
-#: Accented letters of European languages and the plain letters they are keyed under.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďđēėęěğīįłńňōőřśšťūůűźżžÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyaaaccddeeeegiilnnoorsstuuuzzzAAAAAACEEEEIIIINOOOOOOUUUUY"
+def _decomposed() -> tuple[str, str]:
+    """Characters that compatibility decomposition takes apart into one ASCII character and marks, and that character."""
+    pairs = []
+    for i in (*range(0xA0, 0x250), *range(0x1E00, 0x2200), *range(0xFF01, 0xFF5F)):
+        plain = "".join(ch for ch in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(ch))
+        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+            pairs.append((chr(i), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _decomposed()
+#: Letters with strokes, which no decomposition takes apart, and the letters they are keyed under.
+STROKED, UNSTROKED = "øØłŁđĐħĦıŧŦ", "oOlLdDhHitT"
 
 
 def deaccent(c: Column) -> Column:
     """Accented letters as plain ones; others stay."""
-    return F.translate(c, ACCENTED, PLAIN)
+    return F.translate(c, ACCENTED + STROKED, PLAIN + UNSTROKED)
 
 
 def journal_key(c: Column) -> Column:
@@ -27,8 +48,33 @@ def arxiv_key(c: Column) -> Column:
 
 
 def ascii_key(c: Column) -> Column:
-    """K2/K3: accents removed, lower case, every run of other characters one blank."""
-    return F.trim(F.regexp_replace(F.lower(deaccent(c)), r"[^a-z0-9]+", " "))
+    """K2/K3: decomposed, letters that are no ASCII then left out, lower case, every run of other characters one blank.
+
+    Dashes and quotation marks beyond ASCII are such characters, so that words on either side stay apart.
+    """
+    for a, b in LIGATURES.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    plain = F.regexp_replace(F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[\p{P}\p{Z}\p{S}]+", " "), r"[^\x00-\x7F]+", "")
+    return F.trim(F.regexp_replace(F.lower(plain), r"[^a-z0-9]+", " "))
+
+
+def title_key(parts: pd.Series) -> pd.Series:
+    """K1 of texts: entities unescaped, markup out, decomposed without marks, case folded, every run of other characters one
+    blank; letters of any script stay.  Null stays null."""
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        for _ in range(3):
+            t = html.unescape(t)
+        t = unicodedata.normalize("NFKD", re.sub(r"<[^>]*>", " ", t))
+        return re.sub(r"[\W_]+", " ", "".join(ch for ch in t if not unicodedata.combining(ch)).casefold()).strip()
+
+    return parts.map(one)
+
+
+#: K1 as a column function.
+unicode_key = F.pandas_udf(title_key, T.StringType())
 
 
 def doi_key(c: Column) -> Column:

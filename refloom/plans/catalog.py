@@ -68,6 +68,12 @@ def content_tokens_of_titles(spark, sf):
     return read(spark, sf, "cited_sent").filter(F.col("title").isNotNull()).select("cited_id", F.size(t).alias("n"), F.array_join(t, " ").alias("tokens")).filter("n > 0").distinct()
 
 
+@query()
+def unicode_title_keys(spark, sf):
+    """K1; SQL has no compatibility decomposition and no entities, so it is tested on golden rows."""
+    return read(spark, sf, "cited_sent").filter(F.col("title").isNotNull()).select("cited_id", keys.unicode_key("title").alias("title_key")).distinct()
+
+
 @query(
     r"""SELECT DISTINCT cited_id, TRY_CAST(coalesce(list_extract(regexp_extract_all(citation,'\((1[89][0-9]{2}|20[012][0-9])[a-z]?\)',1),-1), list_extract(regexp_extract_all(citation,'\b(1[89][0-9]{2}|20[012][0-9])\b',1),-1)) AS INT) AS year_in,
     nullif(regexp_extract(citation,'(\d+\s?-\s?\d+)',1),'') AS pages_in FROM cited_sent WHERE citation IS NOT NULL"""
@@ -487,10 +493,11 @@ def issue_composition(spark, sf):
     return _issues(spark, sf).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-@query(r"""WITH s AS (SELECT DISTINCT cited_id, CASE WHEN regexp_matches(citation,'^\s*\[\d+\]') THEN 'ieee' WHEN regexp_matches(citation,'\d{4};\s*\d*(?:\(\d+\))?:') THEN 'vancouver' WHEN regexp_matches(citation,'\(\d{4}[a-z]?\)\.\s') THEN 'apa' WHEN regexp_matches(citation,'["“].+["”].*\(\d{4}\)') THEN 'chicago' WHEN regexp_matches(citation,'["“].+["”].*\b\d{4}\b') THEN 'mla' ELSE 'unknown' END AS style FROM cited_sent WHERE citation IS NOT NULL AND NOT regexp_matches(citation,'[\r\n]')) SELECT style, count(*) AS n FROM s GROUP BY 1""")
+@query(r"""WITH c AS (SELECT DISTINCT cited_id, regexp_replace(citation,'[\r\n]+',' ','g') AS citation FROM cited_sent WHERE citation IS NOT NULL), s AS (SELECT DISTINCT cited_id, CASE WHEN regexp_matches(citation,'^\s*\[\d+\]') THEN 'ieee' WHEN regexp_matches(citation,'\d{4};\s*\d*(?:\(\d+\))?:') THEN 'vancouver' WHEN regexp_matches(citation,'\(\d{4}[a-z]?\)\.\s') THEN 'apa' WHEN regexp_matches(citation,'["“].+["”].*\(\d{4}\)') THEN 'chicago' WHEN regexp_matches(citation,'["“].+["”].*\b\d{4}\b') THEN 'mla' ELSE 'unknown' END AS style FROM c) SELECT style, count(*) AS n FROM s GROUP BY 1""")
 def citation_styles(spark, sf):
-    """of entries on one line."""
-    s = read(spark, sf, "cited_sent").filter(F.col("citation").isNotNull() & ~F.col("citation").rlike(r"[\r\n]")).select("cited_id", rules.style_of(F.col("citation")).alias("style")).distinct()
+    """line ends count as blanks."""
+    c = F.regexp_replace("citation", r"[\r\n]+", " ")
+    s = read(spark, sf, "cited_sent").filter(F.col("citation").isNotNull()).select("cited_id", rules.style_of(c).alias("style")).distinct()
     return s.groupBy("style").agg(F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.functions import rules, text
-from refloom.functions.keys import ACCENTED, PLAIN, TITLE_STOP
+from refloom.functions.keys import ACCENTED, PLAIN, STROKED, TITLE_STOP, UNSTROKED
 from refloom.operators import match
 from refloom.session import made_once, read
 
@@ -61,7 +61,7 @@ def journal_key_sql(c: str) -> str:
 
 
 def ascii_key_sql(c: str) -> str:
-    return f"trim(regexp_replace(lower(translate({c},'{ACCENTED}','{PLAIN}')),'[^a-z0-9]+',' ','g'))"
+    return rf"trim(regexp_replace(lower(regexp_replace(regexp_replace(translate({ligatures_sql(c)},'{ACCENTED}','{PLAIN}'),'[\p{{P}}\p{{Z}}\p{{S}}]+',' ','g'),'[^\x00-\x7F]+','','g')),'[^a-z0-9]+',' ','g'))"
 
 
 def page_key_sql(c: str) -> str:
@@ -73,7 +73,7 @@ def volume_key_sql(c: str) -> str:
 
 
 def words_sql(c: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower(translate({c},'{ACCENTED}','{PLAIN}')),'[^a-z]+'), lambda x: length(x) >= 3)"
+    return f"list_filter(regexp_split_to_array(lower(translate({c},'{ACCENTED + STROKED}','{PLAIN + UNSTROKED}')),'[^a-z]+'), lambda x: length(x) >= 3)"
 
 
 def surname_sql(c: str) -> str:

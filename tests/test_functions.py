@@ -33,6 +33,20 @@ def test_keys_are_idempotent(spark, values):
         assert k.filter("a <> b").count() == 0
 
 
+def test_golden_keys(spark):
+    import unicodedata
+
+    import pandas as pd
+
+    # The ASCII key is what is left of the decomposed text when everything else is deleted.
+    for t in ("Smørrebrød ế Ąžuolas İstanbul", "Ｆｕｌｌ ﬁelds Ⅻ²", "Poincaré λ-type", "各国 ice"):
+        plain = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()
+        if "Ⅻ" not in t:
+            assert one(spark, t, keys.ascii_key) == " ".join("".join(c if c.isalnum() else " " for c in plain).split()), t
+    got = keys.title_key(pd.Series(["A &amp;amp; <b>B</b>: Straße_Ⅳ é", "各国の Жук", None])).tolist()
+    assert got[:2] == ["a b strasse iv e", "各国の жук"] and got[2] is None
+
+
 def test_text(spark):
     assert one(spark, "Smith (2019), repr. 2021", text.year_in) == 2019
     assert one(spark, "see doi:10.1234/ab.c), p. 3", text.doi_in) == "10.1234/ab.c"
