@@ -4,7 +4,11 @@ Partition-based pigeonhole join: a reference string that may differ in k edits i
 must stand unchanged in the value, near its own place.  Segments and the substrings of values at those places are joined
 by equality, the pairs verified with the built-in levenshtein, and what is left over comes from an anti-join.  Built-in
 functions only, so all of it stays in the JVM; values are made distinct first, so a frequent value costs as much as a
-rare one.
+rare one, and written once, since several joins read them.
+
+Short forms of words are learned from the list: words that the full names of several entries have in common (journal,
+annals, letters and the like) are what a shorter word means that is no word of the list itself, if it begins just one of
+them, or holds letters of just one in their order, from the first.
 
 Defined results: null and blank values give no row; a value that comes equally close to several identities, and an
 acronym of several, is unmatched.
@@ -16,25 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.functions.keys import deaccent, journal_key
+from refloom.session import cut
 
-#: Usual short forms of words in the names of journals.
-SHORT_FORMS = (
-    (r"\bint(?:l|ern|ernat\p{L}*)?\b", "international"),
-    (r"\bj(?:l|nl|rnl|our|ourn)?\b", "journal"),
-    (r"\ban(?:n|ls|nls|nal)\b", "annals"),
-    (r"\badv(?:s|an|anc)?\b", "advances"),
-    (r"\btr(?:ans|ansac|ansact|ansacts|s)?\b", "transactions"),
-    (r"\barch(?:s|iv|vs)?\b", "archives"),
-    (r"\beur(?:o|op|opn)?\b", "european"),
-    (r"\br(?:ep|eps|ept|epts|pt|pts)\b", "reports"),
-    (r"\br(?:ev|evs|vw|evw)\b", "review"),
-    (r"\bl(?:et|ett|etts|tr|trs|tt|tts)\b", "letters"),
-    (r"\bq(?:u|uart|tly|rtly|uartly)?\b", "quarterly"),
-    (r"\bn(?:ot|ts|tes)\b", "notes"),
-    (r"\bproc(?:s|eed|ds|dgs|gs)?\b", "proceedings"),
-    (r"\bsoc(?:y|iet)?\b", "society"),
-    (r"\benv(?:ir|iron|irn|irons|t|mt|nmt)?\b", "environment"),
-)
+#: Identities whose full names must have a word in common for it to be what short forms mean.
+COMMON = 2
 STOP = r"\b(?:of|in|on|the|and|for|to|de|der|des|du|la|le|für)\b"
 #: What may follow a name: an edition, a volume.
 _TAIL = r"(?i)[\s,;:.\[(]*(?:\b(?:online|print|new ser(?:ies)?|n\.? ?s|formerly new series|vol(?:ume)?\.?\s*\d+[a-z]?|no\.?\s*\d+|\d+(?:\s*\(\d+\))?))[\])\s.,;]*$"
@@ -67,20 +56,33 @@ def _letter(name: Column) -> Column:
     return F.regexp_extract(name, r" ([a-h])$", 1)
 
 
-def _expanded(name: Column) -> Column:
-    name = F.regexp_replace(name, r" [a-h]$", "")
-    for pattern, word in SHORT_FORMS:
-        name = F.regexp_replace(name, pattern, word)
-    return name
+def expanded(names: DataFrame, full: DataFrame) -> DataFrame:
+    """(name, text): distinct names without their section letter, short forms of words written out; full has the names of
+    the list in full, with their ``identity``."""
+    words = lambda c: F.filter(F.split(F.regexp_replace(c, r" [a-h]$", ""), " "), lambda w: w != "")
+    listed = full.select("identity", F.explode(words(F.col("name"))).alias("long")).groupBy("long").agg(F.count_distinct("identity").alias("n"))
+    long = listed.filter((F.length("long") > 3) & ~F.col("long").rlike(rf"^{STOP}$")).select("long", "n", F.substring("long", 1, 1).alias("first"))
+    each = names.select("name").filter("name IS NOT NULL").distinct().select("name", F.posexplode(words(F.col("name"))).alias("i", "w"))
+    short = each.select("w").filter(~F.col("w").rlike(rf"^{STOP}$")).distinct().join(listed.select(F.col("long").alias("w")), "w", "left_anti")
+    # A plural of a short form ends like one.
+    stem = F.when(F.length("w") > 2, F.regexp_replace("w", "s$", "")).otherwise(F.col("w"))
+    met = short.withColumn("first", F.substring("w", 1, 1)).join(long, "first").filter(F.length("w") < F.length("long"))
+    begins = F.startswith("long", stem)
+    inside = (F.length("w") > 1) & F.rlike("long", F.concat(F.lit("^"), F.regexp_replace("w", r"(\w)", "$1.*")))
+    best = met.withColumn("rank", F.when(begins, 0).when(inside, 1)).filter("rank IS NOT NULL").groupBy("w").agg(F.collect_set(F.struct("rank", "long", "n")).alias("all"))
+    first = F.filter("all", lambda x: x["rank"] == F.array_min("all")["rank"])
+    means = best.select("w", first.alias("f")).filter((F.size("f") == 1) & (F.get("f", F.lit(0))["n"] >= COMMON)).select("w", F.get("f", F.lit(0))["long"].alias("long"))
+    told = each.join(means, "w", "left").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("long", "w").alias("w")))).alias("ws"))
+    return told.select("name", F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("text"))
 
 
-def _body(name: Column) -> Column:
-    """What is compared: short forms expanded, small words and blanks dropped, without the section letter."""
-    return F.replace(F.regexp_replace(_expanded(name), STOP, ""), F.lit(" "), F.lit(""))
+def _body(text: Column) -> Column:
+    """What is compared: small words and blanks dropped."""
+    return F.replace(F.regexp_replace(text, STOP, ""), F.lit(" "), F.lit(""))
 
 
-def _words(name: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(_expanded(name), STOP, " "), " "), lambda w: w != "")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(text, STOP, " "), " "), lambda w: w != "")
 
 
 def _stem_key(words: Column) -> Column:
@@ -88,20 +90,28 @@ def _stem_key(words: Column) -> Column:
     return F.concat_ws(" ", F.transform(words, lambda w: F.substring(w, 1, 3)))
 
 
+def shown_names(journal: DataFrame) -> DataFrame:
+    """(identity, name): the names in full."""
+    return journal.select("identity", deaccent(journal_key(F.col("display_name"))).alias("name")).filter(F.col("name").isNotNull() & F.col("identity").isNotNull()).distinct()
+
+
 def reference_names(alias: DataFrame, journal: DataFrame) -> DataFrame:
-    """(name, letter, identity, full): the names of the list; full says that none of its words is cut short."""
-    shown = journal.select("identity", deaccent(journal_key(F.col("display_name"))).alias("name")).filter(F.col("name").isNotNull() & F.col("identity").isNotNull()).distinct()
-    longest = shown.groupBy("identity").agg(F.max(F.length(_body(F.col("name")))).alias("longest"))
-    names = alias.select("identity", deaccent(F.col("name_norm")).alias("name")).filter(F.col("name").isNotNull() & F.col("identity").isNotNull()).unionByName(shown).distinct()
-    full = F.length(_body(F.col("name"))) >= F.coalesce(F.col("longest"), F.lit(0)) - 1
-    return names.join(longest, "identity", "left").select("name", _letter(F.col("name")).alias("letter"), "identity", full.alias("full"))
+    """(identity, name): the names of the list."""
+    return alias.select("identity", deaccent(F.col("name_norm")).alias("name")).filter(F.col("name").isNotNull() & F.col("identity").isNotNull()).unionByName(shown_names(journal)).distinct()
+
+
+def with_fullness(names: DataFrame, shown: DataFrame) -> DataFrame:
+    """(name, text, letter, identity, full): full says that none of the name's words is cut short; names have their text."""
+    longest = names.join(shown, ["identity", "name"], "left_semi").groupBy("identity").agg(F.max(F.length(_body(F.col("text")))).alias("longest"))
+    full = F.length(_body(F.col("text"))) >= F.coalesce(F.col("longest"), F.lit(0)) - 1
+    return names.join(longest, "identity", "left").select("name", "text", _letter(F.col("name")).alias("letter"), "identity", full.alias("full"))
 
 
 def reference_forms(names: DataFrame) -> DataFrame:
     """(form, letter, identity, full): every string a name may be compared with, without and with its small words."""
-    whole = names.select(_body(F.col("name")).alias("form"), "letter", "identity", "full")
-    together = names.select(F.replace(_expanded(F.col("name")), F.lit(" "), F.lit("")).alias("form"), "letter", "identity", "full")
-    return whole.unionByName(together).filter(F.length("form") > 2).groupBy("form", "letter", "identity").agg(F.max("full").alias("full"))
+    whole = names.select(_body(F.col("text")).alias("form"), "letter", "identity", "full")
+    together = names.select(F.replace("text", F.lit(" "), F.lit("")).alias("form"), "letter", "identity", "full")
+    return whole.unionByName(together).filter(F.length("form") > 0).groupBy("form", "letter", "identity").agg(F.max("full").alias("full"))
 
 
 def _place(length: Column, k: Column, i: Column) -> tuple[Column, Column]:
@@ -122,7 +132,7 @@ def _segments(forms: DataFrame) -> DataFrame:
 def _probes(values: DataFrame) -> DataFrame:
     """The substrings of every body where a segment of a form of some length could stand, for each number of edits."""
     p = values.withColumn("n", F.length("body")).select("body", "letter", "n", F.explode(F.sequence(F.lit(-MOST_EDITS), F.lit(MOST_EDITS))).alias("d"))
-    p = p.withColumn("form_length", F.col("n") - F.col("d")).filter(F.col("form_length") > 2)
+    p = p.withColumn("form_length", F.col("n") - F.col("d")).filter(F.col("form_length") > 0)
     p = p.select("*", F.explode(F.array_distinct(F.array(edits(F.col("form_length"), F.lit(True)), edits(F.col("form_length"), F.lit(False))))).alias("k"))
     p = p.filter(F.abs("d") <= F.col("k"))
     p = p.select("*", F.explode(F.sequence(F.lit(1), F.col("k") + 1)).alias("i"))
@@ -142,17 +152,19 @@ def _one(identity: str = "identity") -> Column:
 
 def resolve(values: DataFrame, column: str, alias: DataFrame, acronym: DataFrame, journal: DataFrame) -> DataFrame:
     """(value, identity) for each distinct value that is not blank; identity is 'unmatched' where none or several fit."""
-    v = values.select(F.col(f"`{column}`").alias("value")).filter(F.length(F.trim("value")) > 0).distinct()
-    v = v.withColumn("name", _name(F.col("value"))).withColumn("letter", _letter(F.col("name"))).withColumn("body", _body(F.col("name")))
-    v = v.withColumn("compact", F.replace(F.col("name"), F.lit(" "), F.lit("")))
-
-    # Acronyms: as a whole, and only where the value is short; of several identities none is taken.
+    v = values.select(F.col(f"`{column}`").alias("value")).filter(F.length(F.trim("value")) > 0).distinct().withColumn("name", _name(F.col("value")))
+    names, shown = reference_names(alias, journal), shown_names(journal)
+    texts = cut(expanded(v.select("name").unionByName(names.select("name")), shown))
+    names = cut(with_fullness(names.join(texts, "name"), shown))
+    v = v.join(texts, "name", "left").fillna("", ["text"])
+    v = cut(v.select("value", "text", _letter(F.col("name")).alias("letter"), _body(F.col("text")).alias("body"), F.replace("name", F.lit(" "), F.lit("")).alias("compact")))
+
+    # Acronyms: as a whole; of several identities none is taken.
     acr = acronym.filter(F.col("acr").isNotNull()).groupBy(deaccent(F.lower("acr")).alias("compact")).agg(_one().alias("identity"))
-    short = v.filter(F.length("compact") <= 12).join(acr, "compact").select("value", "identity")
+    short = cut(v.join(acr, "compact").select("value", "identity"))
     rest = v.join(short, "value", "left_anti")
 
-    names = reference_names(alias, journal)
-    bodies = rest.select("body", "letter").filter(F.length("body") > 2).distinct()
+    bodies = rest.select("body", "letter").filter(F.length("body") > 0).distinct()
     segments = _segments(reference_forms(names)).select("form", "letter", "identity", "k", "form_length", "i", "segment")
     pairs = _probes(bodies).join(segments, ["letter", "form_length", "k", "i", "segment"])
     # Verified before they are made distinct: the distance is cheaper than a shuffle of all pairs.
@@ -161,13 +173,13 @@ def resolve(values: DataFrame, column: str, alias: DataFrame, acronym: DataFrame
     near = rest.join(near, ["body", "letter"]).select("value", "identity", F.struct("distance", F.lit(False).alias("cut")).alias("rank"))
 
     # Words cut short: every word of the value begins the word of the name at its place.
-    whole = names.filter("full").select(_words(F.col("name")).alias("whole"), "letter", "identity").withColumn("stems", _stem_key(F.col("whole")))
-    cut = rest.select("value", "letter", _words(F.col("name")).alias("words")).withColumn("stems", _stem_key(F.col("words")))
-    cut = cut.join(whole, ["stems", "letter"]).filter(F.forall(F.arrays_zip("words", "whole"), lambda x: F.startswith(x["whole"], x["words"])))
-    cut = cut.select("value", "identity", F.struct(F.lit(0).alias("distance"), F.lit(True).alias("cut")).alias("rank"))
+    whole = names.filter("full").select(_words(F.col("text")).alias("whole"), "letter", "identity").withColumn("stems", _stem_key(F.col("whole")))
+    begun = rest.select("value", "letter", _words(F.col("text")).alias("words")).withColumn("stems", _stem_key(F.col("words")))
+    begun = begun.join(whole, ["stems", "letter"]).filter(F.forall(F.arrays_zip("words", "whole"), lambda x: F.startswith(x["whole"], x["words"])))
+    begun = begun.select("value", "identity", F.struct(F.lit(0).alias("distance"), F.lit(True).alias("cut")).alias("rank"))
 
     # The nearest name decides, if it is the name of one identity; a name in full goes before one cut short.
-    near = near.unionByName(cut).groupBy("value").agg(F.collect_set(F.struct("rank", "identity")).alias("all"))
+    near = near.unionByName(begun).groupBy("value").agg(F.collect_set(F.struct("rank", "identity")).alias("all"))
     first = F.filter("all", lambda x: x["rank"] == F.array_min("all")["rank"])
     near = near.select("value", first.alias("first")).filter(F.size("first") == 1).select("value", F.get("first", F.lit(0))["identity"].alias("identity"))
     matched = near.unionByName(short.filter(F.col("identity").isNotNull()))
