@@ -6,7 +6,7 @@ in ever fewer partitions, until the rest fits one task or no round brings fewer.
 capacity, and a task never gets more than ``TASK`` of them, so nothing unbounded gathers anywhere.
 
 Defined results: an item longer than the capacity is cut into pieces of the capacity and a rest; null and empty texts
-have no tokens, fit anywhere and are placed like others; capacities that are null or not positive hold nothing; an id
+have no tokens, fit anywhere and are dealt out over the containers in turn; capacities that are null or not positive hold nothing; an id
 that comes twice is two items.
 """
 
@@ -30,7 +30,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Items of one task, at most about; share of the capacity that a container may leave unused to count as full.
 TASK, SLACK = 40_000, 0.005
-#: Capacities that one call takes, at most.
+#: Capacities that one pass over the items takes; more take more passes.
 MOST_PACKS = 100
 MEMBERS = "array<struct<id:bigint,piece:int,tokens:int>>"
 
@@ -60,7 +60,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     """Indexes of the items of each container: longest first, each where least space is left over."""
     bins: list[list[int]] = []
     free: list[tuple[int, int]] = []
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+    for i in sorted((i for i in range(len(sizes)) if sizes[i]), key=lambda i: (-sizes[i], i)):
         k = bisect_left(free, (sizes[i], -1))
         if k < len(free):
             left, b = free.pop(k)
@@ -69,6 +69,11 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
             bins.append([])
         bins[b].append(i)
         insort(free, (left - sizes[i], b))
+    # What has no size would all go into the fullest container; dealt out, no container holds more than its share.
+    empty = [i for i in range(len(sizes)) if not sizes[i]]
+    bins = bins or [[] for _ in range(-(-len(empty) // capacity))]
+    for n, i in enumerate(empty):
+        bins[n % len(bins)].append(i)
     return bins
 
 
@@ -94,12 +99,14 @@ def _round(number: int, last: bool):
 
 def pack(items: DataFrame, packs: DataFrame) -> DataFrame:
     """(pack_id, id, piece, tokens, container) for items (id, tokens) and packs (pack_id, capacity)."""
-    fit = packs.select("pack_id", F.col("capacity").cast("int").alias("capacity")).filter("pack_id IS NOT NULL AND capacity > 0").distinct().orderBy("pack_id", "capacity").limit(MOST_PACKS + 1).collect()
-    if len(fit) > MOST_PACKS:
-        raise ValueError(f"more than {MOST_PACKS} capacities")
-    # Each capacity is a packing of its own.
-    kinds = F.array(*[F.struct(F.lit(r["pack_id"]).alias("pack_id"), F.lit(r["capacity"]).alias("capacity")) for r in fit]).cast("array<struct<pack_id:int,capacity:int>>")
-    rows = items.select(F.col("id").cast("bigint").alias("id"), F.col("tokens").cast("int").alias("tokens"), F.explode(kinds).alias("k")).select("id", "tokens", "k.pack_id", "k.capacity")
+    # Capacities are parameters, few as they are; each is a packing of its own.
+    fit = packs.select("pack_id", F.col("capacity").cast("int").alias("capacity")).filter("pack_id IS NOT NULL AND capacity > 0").distinct().orderBy("pack_id", "capacity").collect()
+    kind = "array<struct<pack_id:int,capacity:int>>"
+    rows = None
+    for at in range(0, max(1, len(fit)), MOST_PACKS):
+        kinds = F.array(*[F.struct(F.lit(r["pack_id"]).alias("pack_id"), F.lit(r["capacity"]).alias("capacity")) for r in fit[at : at + MOST_PACKS]]).cast(kind)
+        part = items.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("tokens").cast("int"), F.lit(0)).alias("tokens"), F.explode(kinds).alias("k")).select("id", "tokens", "k.pack_id", "k.capacity")
+        rows = part if rows is None else rows.unionByName(part)
     pieces = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity")).cast("int"))
     rows = rows.select("pack_id", "capacity", "id", "tokens", F.explode(F.sequence(F.lit(1), pieces)).alias("piece"))
     size = F.greatest(F.lit(0), F.least(F.col("capacity"), F.col("tokens") - (F.col("piece") - 1) * F.col("capacity"))).cast("int")

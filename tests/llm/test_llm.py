@@ -221,6 +221,14 @@ def test_pack_in_rounds(spark, monkeypatch):
     assert len(got) == 1000 and got.groupby("container")["tokens"].sum().max() <= 100 and got["container"].nunique() <= 560
 
 
+def test_pack_of_nothing_and_many_capacities(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_PACKS", 2)
+    items = spark.createDataFrame([(i, 0 if i < 50 else 10) for i in range(60)] + [(99, None)], "id bigint, tokens int")
+    got = packing.pack(items, spark.createDataFrame([(k, 10) for k in range(5)], "pack_id int, capacity int")).toPandas()
+    assert set(got["pack_id"]) == set(range(5)) and len(got) == 5 * 61
+    assert got.groupby(["pack_id", "container"])["id"].size().max() <= 8
+
+
 # Leakage
 
 
