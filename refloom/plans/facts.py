@@ -21,12 +21,12 @@ def keyed(spark: SparkSession, sf: str) -> DataFrame:
 
     def make() -> DataFrame:
         c = F.col
-        rows = match.with_reference_keys(read(spark, sf, "cited_sent"))
+        # The last versions first: their shuffle spreads the rows evenly for the rules, whatever the files are like.
+        rows = match.with_reference_keys(match.newest(read(spark, sf, "cited_sent").drop("sentences", "publisher"), "cited_id", "loaded_at"))
         rule = rules.nonacademic_rule(c("citation"), c("doi_key"), c("title"), c("journal"), c("volume"))
         reason = rules.not_found_reason(c("citation"), c("title"), c("doi_key"))
         has_title = F.coalesce(F.trim("title"), F.lit("")) != ""
-        rows = rows.select("cited_id", "paper", "i", "month", "title", "journal", "volume", "pages", "y", "title_key", "journal_key", "vol", "page", "doi_key", "s", rule.alias("nonacademic_rule"), reason.alias("reason0"), has_title.alias("has_title"), "loaded_at")
-        return match.newest(rows, "cited_id", "loaded_at").drop("loaded_at")
+        return rows.select("cited_id", "paper", "i", "month", "title", "journal", "volume", "pages", "y", "title_key", "journal_key", "vol", "page", "doi_key", "s", rule.alias("nonacademic_rule"), reason.alias("reason0"), has_title.alias("has_title"))
 
     return made_once(spark, sf, "keyed", ("cited_sent",), make)
 
