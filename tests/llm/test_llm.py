@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -155,6 +156,28 @@ def test_mistyped_titles_are_candidates(spark):
     assert len(found) < 3000
 
 
+def test_unlike_titles_of_the_same_phrases(spark, monkeypatch):
+    # Without figures; before, all pairs that share a band were candidates, as the square of the titles.
+    parts = [["towards ", "study of ", "on the "], ["thermal ", "bounded ", "passive "], ["age dating of ", "site ranking of "], ["cold atoms ", "heart valves ", "coral rubble "], ["at the percolation threshold", "under mechanical agitation", "with correlated noise"]]
+    titles = ["".join(p) for p in itertools.product(*parts)]
+    a = spark.createDataFrame([(i, t.replace("percolation", "percolatoin") if i % 2 else t) for i, t in enumerate(titles)], "id int, t string").selectExpr("id", "t", "cast(null as string) y", "cast(null as string) v", "cast(null as string) p")
+    (l, l_keys), (r, r_keys) = entities._records(a, "id", "t", "y", "v", "p"), entities._records(a.withColumn("t", F.lower("t")), "id", "t", "y", "v", "p")
+    texts = entities.titles(l, r).localCheckpoint()
+    brute = texts.filter("side % 2 = 1").select(F.col("tid").alias("tl"), F.struct("text").alias("a")).crossJoin(texts.select(F.struct("text").alias("b")))
+    assert brute.filter(entities._alike("a", "b") != (entities._title_step("a", "b") >= entities.ALIKE)).count() == 0
+    whole = entities.title_pairs(texts).localCheckpoint()
+    unlike = whole.filter("title < 10").count()
+    assert unlike > 1000 and whole.agg(F.max("weight")).first()[0] == 1
+    monkeypatch.setattr(entities, "SAMPLED", 20)
+    drawn = entities.title_pairs(texts).localCheckpoint()
+    assert rows(drawn.filter("title >= 10"), "tl", "tr") == rows(whole.filter("title >= 10"), "tl", "tr")
+    sample = drawn.filter("title < 10")
+    assert sample.count() < 0.4 * unlike and abs(sample.agg(F.sum("weight")).first()[0] - unlike) < 0.25 * unlike
+    # Titles that are unlike aren't matched for their titles, whatever was drawn.
+    found = entities.candidates(l, r)
+    assert found.filter("own").filter("cast(split(cell, '[|]')[0] as int) < 10").count() == 0
+
+
 # Scans
 
 
