@@ -1,10 +1,12 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from refloom.llm import canonical_list, entities, leakage, lookalike, names, packing, quality, scans
+from refloom.session import cut
 
 
 def rows(df, *cols):
@@ -178,6 +180,23 @@ def test_unlike_titles_of_the_same_phrases(spark, monkeypatch):
     assert found.filter("own").filter("cast(split(cell, '[|]')[0] as int) < 10").count() == 0
 
 
+def test_shuffle_files_end_with_what_they_were_for(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = {files.apply(i).getName() for i in range(files.size())}
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    frame = spark.range(20_000).groupBy((F.col("id") % 77).alias("k")).count()
+    before = shuffled()
+    kept = cut(frame, free=True)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert kept.count() == 77 and frame.count() == 77 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 # Scans
 
 
