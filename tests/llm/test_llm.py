@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import time
 
 import pytest
@@ -180,6 +181,22 @@ def test_unlike_titles_of_the_same_phrases(spark, monkeypatch):
     assert found.filter("own").filter("cast(split(cell, '[|]')[0] as int) < 10").count() == 0
 
 
+def test_words_are_split_once_and_sources_filtered_before_titles_meet(spark, monkeypatch):
+    # Before, words were split again for each neighbour and each minimum, and titles of the same source met in the join.
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    a = spark.createDataFrame([(i, f"ice beds of lake {i}", "2000", "3", str(i)) for i in range(9)], "id int, t string, y string, v string, p string")
+    (l, _), (r, _) = entities._records(a, "id", "t", "y", "v", "p"), entities._records(a, "id", "t", "y", "v", "p")
+    texts = entities.titles(l, r).localCheckpoint()
+    records = l.join(texts.select("tid", "s1", "s2"), "tid").localCheckpoint()
+    assert [plan(entities._figure_blocks(records, left)).count("split(text") for left in (True, False)] == [1, 1]
+    plans = []
+    monkeypatch.setattr(entities, "cut", lambda df, free=False: plans.append(plan(df)) or df)
+    entities.title_pairs(texts)
+    met = plans[:-1]
+    assert len(met) == -(-entities.BANDS // entities.PASS) + 1 and met[-1].count("split(text") == 2
+    assert all(re.search(rf"Filter .*side#\d+ & {bit}\) > 0", p) for p in met for bit in (1, 2))
+
+
 def test_shuffle_files_end_with_what_they_were_for(spark):
     def shuffled():
         files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
