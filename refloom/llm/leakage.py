@@ -162,14 +162,68 @@ def _grouped(pairs: list[tuple[int, int]]) -> dict[int, list[int]]:
 
 
 def longest_passage(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
-    """(words of the item, matched words) of the best aligned stretch: a match gains one, an edit costs EDIT."""
+    """(words of the item, matched words) of the best aligned stretch: a match gains one, an edit costs EDIT.
+
+    Row by row, as the dense alignment, but only where a stretch has a score; in most candidates few places have one.  Where
+    these become many, the rest is aligned densely.
+    """
     n = len(doc)
+    places: dict[int, list[int]] = defaultdict(list)
+    for j, w in enumerate(doc.tolist(), 1):
+        places[w].append(j)
     best = (0, 0, 0)
+    #: Place to (score, beginning, matches) where the score is positive.
+    live: dict[int, tuple[int, int, int]] = {}
+    for r, w in enumerate(item.tolist()):
+        hits = places.get(w, ())
+        if len(live) + len(hits) > 32 + n // 32:
+            return _dense(item, doc, r, live, best)
+        if not live and not hits:
+            continue
+        # A match scores one at least; without one a score goes on from the place before or from the row above.
+        at = set(hits)
+        for j, x in live.items():
+            if x[0] > EDIT:
+                at.add(j)
+                if j < n:
+                    at.add(j + 1)
+        own, here = set(hits), []
+        for j in sorted(at):
+            last, above = live.get(j - 1), live.get(j)
+            hit = j in own
+            score, begin, match = last or (0, r, 0)
+            score += 1 if hit else -EDIT
+            if above and above[0] - EDIT > score:
+                score, begin, match = above[0] - EDIT, above[1], above[2]
+            else:
+                match += hit
+            if score > 0:
+                here.append((j, score, begin, match))
+        # Words added in the document: a score goes on to the right until none is left or another is better.
+        live = {}
+        for j, score, begin, match in here:
+            if j in live and live[j][0] > score:
+                continue
+            live[j] = (score, begin, match)
+            for to in range(j + 1, min(n, j + (score - 1) // EDIT) + 1):
+                live[to] = (score - EDIT * (to - j), begin, match)
+        if live:
+            k = min(live, key=lambda j: (-live[j][0], j))
+            if live[k][0] > best[0]:
+                best = (live[k][0], r + 1 - live[k][1], live[k][2])
+    return best[1], best[2]
+
+
+def _dense(item: np.ndarray, doc: np.ndarray, row: int = 0, live: dict[int, tuple[int, int, int]] | None = None, best: tuple[int, int, int] = (0, 0, 0)) -> tuple[int, int]:
+    """The same over all places, from a row of the item on, with the scores before it."""
+    n = len(doc)
     score = np.zeros(n + 1, np.int64)
     begin = np.zeros(n + 1, np.int64)
     match = np.zeros(n + 1, np.int64)
+    for j, x in (live or {}).items():
+        score[j], begin[j], match[j] = x
     steps = np.arange(n + 1)
-    for r, w in enumerate(item):
+    for r, w in enumerate(item[row:], row):
         hit = doc == w
         diag = score[:-1] + np.where(hit, 1, -EDIT)
         up = score[1:] - EDIT

@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +325,41 @@ def test_items_of_every_length_are_found(spark):
     assert {x for x in got if x[1] < 9} == want
 
 
+def test_alignment_of_few_places_agrees_with_the_dense_one():
+    draw = np.random.default_rng(12)
+    for k in range(1500):
+        item, doc = draw.integers(1, 3 + k % 40, draw.integers(0, 70)), draw.integers(0, 3 + k % 40, draw.integers(0, 200))
+        if k % 3 == 0 and len(item) and len(doc):
+            # A passage with changed, missing and added words.
+            doc = np.concatenate([doc, np.delete(item, draw.integers(0, len(item), 2)), doc[:3], item[5:25], doc[:9]])
+        assert leakage.longest_passage(item, doc) == leakage._dense(item, doc)
+
+
+def test_chance_candidates_cost_little():
+    # Before, every place of the stretch was scored for every word of the item.
+    draw, items = np.random.default_rng(13), []
+    for _ in range(40):
+        item, doc = draw.integers(1, 400, 80), draw.integers(0, 400, 110)
+        doc[50:59] = item[20:29]
+        items.append((item, doc))
+
+    def seconds():
+        began = time.process_time()
+        assert all(leakage.longest_passage(*x)[1] >= 9 for x in items)
+        return time.process_time() - began
+
+    def by_rows(item, doc):
+        for w in item:
+            for _ in range(16):
+                np.where(doc == w, 1, 0)
+
+    own = min(seconds() for _ in range(3))
+    began = time.process_time()
+    for x in items:
+        by_rows(*x)
+    assert own < (time.process_time() - began) / 2
+
+
 # Quality
 
 
