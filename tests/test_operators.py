@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from refloom.functions.keys import content_tokens, trigrams
-from refloom.functions.similarity import containment, jaccard
+from refloom.functions.similarity import containment, good, jaccard
 from refloom.operators import inject, match, rates, sampling, sentences, stats, vector
 from refloom.sources import tei
 from refloom.streaming.ingest import ingest
@@ -124,3 +124,25 @@ def test_fuzzy_title_agrees_with_brute_force(spark):
     assert len(want) > 550 and want.keys() <= got.keys()
     assert all((got[i]["grams"], got[i]["contained"]) >= m for i, m in want.items())
     assert got[2000]["oa_id"] == "X" and not {2002, 2003} & got.keys()
+
+
+def test_fuzzy_title_compares_distinct_titles_and_joins_no_pair_that_cannot_win(spark):
+    # 300 references and 300 works have the same two titles: once each, however many rows there are.
+    title = "on the gap filling of mean field survey weights under intermittent supply"
+    refs = spark.createDataFrame([(i, title.replace("supply", "suply")) for i in range(300)], "cited_id int, title string")
+    works = spark.createDataFrame([(f"W{i:03}", title) for i in range(300)], "oa_id string, title_norm string")
+    assert match._title_marks(works.select("title_norm").distinct(), "title_norm").count() == 1
+    assert {(r["cited_id"], r["oa_id"]) for r in match.fuzzy_title(refs, works).collect()} == {(i, "W000") for i in range(300)}
+
+
+def test_promising_keeps_every_pair_that_can_win(spark):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("bcdfglmnprst") + draw.choice("aeiou") for _ in range(draw.randint(2, 4))) for _ in range(40)]
+    rows = [(" ".join(draw.choices(words, k=draw.randint(1, 9))),) for _ in range(150)] + [("",), ("ab",)]
+    marks = match._title_marks(spark.createDataFrame(rows, "title string").distinct(), "title", "tokens", "words")
+    x, y = marks.alias("x"), marks.alias("y")
+    c, g = F.round(containment(F.col("x.tokens"), F.col("y.words")), 6), F.round(jaccard(F.col("x.grams"), F.col("y.grams")), 6)
+    for best in (0.0, 0.3, 0.5):
+        pairs = marks.withColumn("best", F.lit(best)).alias("x").crossJoin(y).select(match._promising().alias("kept"), (good(c, g) & (F.coalesce(g, F.lit(0.0)) >= best)).alias("wins"))
+        n = {(r["kept"], r["wins"]): r["count"] for r in pairs.groupBy("kept", "wins").count().collect()}
+        assert (False, True) not in n and n[(False, False)] > 5 * n[(True, False)]
