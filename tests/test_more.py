@@ -1,6 +1,8 @@
 import json
+import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from refloom.functions import rules, similarity, text
@@ -142,3 +144,15 @@ def test_prefixes_of_any_length(spark):
 def test_similarities(spark):
     assert spark.createDataFrame([("abc", None)], "a string, b string").select(similarity.sequence_ratio("a", "b")).first()[0] is None
     assert rates.months(spark.createDataFrame([("0111", "0202")], "a string, b string"), "a", "b").count() == 4
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_fuzzy_rescue_resolves_references_once(spark, monkeypatch):
+    from refloom import session
+    from refloom.plans import facts, studies
+
+    calls, resolved = [], facts.resolved
+    monkeypatch.setattr(session, "_MADE", {})
+    monkeypatch.setattr(facts, "resolved", lambda *a: calls.append(a) or resolved(*a))
+    rows = studies.fuzzy_rescue_by_year(spark, "/root/testdata/sf0.001").collect()
+    assert len(calls) == 1 and all(r["fuzzy_failed"] <= r["exact_failed"] for r in rows) and rows
