@@ -395,3 +395,16 @@ def test_empty_and_null_tables(spark):
     none = spark.createDataFrame([], "name_norm string, identity string, acr string, display_name string")
     got = canonical_list.resolve(spark.createDataFrame([("Annals of Ice",), (None,)], "j string"), "j", none.select("name_norm", "identity"), none.select("acr", "identity"), none.select("identity", "display_name"))
     assert rows(got, "value", "identity") == {("Annals of Ice", "unmatched")}
+
+
+def test_none_missing_is_no_missing_word(spark):
+    draw = random.Random(8)
+    words = "a study of weakly bound desorption barley roots granulation moraine ridges under thermal drift with limited labels".split()
+    slip = lambda w: w[:2] + w[3:] if draw.random() < 0.3 else w
+    rows = []
+    for _ in range(300):
+        a = draw.sample(words, draw.randint(1, 7))
+        rows.append((" ".join(a), " ".join(slip(w) for w in draw.choice([a, a[1:] or a, a[:-1] + draw.sample(words, 1)]))))
+    df = spark.createDataFrame(rows, "x string, y string").select(F.struct(F.col("x").alias("text")).alias("a"), F.struct(F.col("y").alias("text")).alias("b"))
+    got = {(r["n"], r["m"]): r["count"] for r in df.groupBy(entities._none_missing("a", "b").alias("n"), (entities._missing("a", "b") == 0).alias("m")).count().collect()}
+    assert set(got) == {(True, True), (False, False)} and min(got.values()) > 30
